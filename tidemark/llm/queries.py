@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, near_dup, quality, token_files, topk
+from . import contamination, licenses, mixing, near_dup, quality, secrets, token_files, topk
 from .common import Scratch
 
 #: Parameters of the token files.
@@ -22,10 +22,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -52,6 +60,6 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_licenses, op5_token_files, op6_quality, op7_near_duplicates, op9_top_k)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_mixing, op5_token_files, op6_quality, op7_near_duplicates, op9_top_k)
 }
 ORACLE_SQL: dict[str, str] = {}
