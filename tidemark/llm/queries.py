@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, near_dup, quality, secrets, token_files, topk
+from . import contamination, licenses, mixing, near_dup, pii, quality, secrets, token_files, topk
 from .common import Scratch
 
 #: Parameters of the token files.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: Stands in for the secret that a deployment passes to ``pii.replace_pii``.
+SURROGATE_KEY = "not-a-secret"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +56,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_mixing, op5_token_files, op6_quality, op7_near_duplicates, op9_top_k)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_mixing, op5_token_files, op6_quality, op7_near_duplicates, op8_surrogates, op9_top_k)
 }
 ORACLE_SQL: dict[str, str] = {}
