@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, near_dup, pii, quality, secrets, token_files, topk
+from . import contamination, licenses, mixing, near_dup, pii, quality, secrets, substrings, token_files, topk
 from .common import Scratch
 
 #: Parameters of the token files.
@@ -65,7 +65,11 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_strings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_mixing, op5_token_files, op6_quality, op7_near_duplicates, op8_surrogates, op9_top_k)
+    f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_mixing, op5_token_files, op6_quality, op7_near_duplicates, op8_surrogates, op9_top_k, op10_repeated_strings)
 }
 ORACLE_SQL: dict[str, str] = {}
