@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, near_dup, quality, token_files
+from tidemark.llm import contamination, mixing, near_dup, quality, token_files
 from tidemark.llm.common import Scratch
 from tidemark.llm.queries import END_ID, table, tokenizer_path
 
@@ -34,8 +34,14 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix to target weights: a row for every document and pass in which words of it
+    are drawn, with those words."""
+    return mixing.mixed_documents(docs)
+
+
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: one row per document."""
+    """Token files of the mix, read back: a row for each row of the mix."""
     path = f"{Scratch(spark, 'pipeline-tokens').root}/ids"
     token_files.write_token_files(docs, path, tokenizer_path(), END_ID)
     return token_files.read_token_files(spark, path)
@@ -45,6 +51,7 @@ STAGES = [
     ("quality", keep_good),
     ("near_duplicates", drop_near_copies),
     ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
     ("token_files", to_token_files),
 ]
 #: The stages train a model and hash; tests compare them with brute force instead.
