@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -17,25 +17,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds:
     sums, the way back is an equi-join that AQE can split, so one huge star is no one
     task's work. Each round is written to the shared folder. Null ends are ignored; an
     empty table gives an empty one."""
-    cur = scratch.table(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct(),
-        f"{name}-0",
-    )
+    edges = edges.where("u is not null and v is not null and u <> v")
+    cur = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     state = None
-    for i in range(1, max_rounds):
+    for i in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        nxt = small.select("v", "m").where("v <> m").union(low.select("u", "m")).toDF("u", "v").distinct()
-        nxt = scratch.table(nxt, f"{name}-{i}")
-        seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        seen = Observation()
+        cur = scratch.table(small.select("e.u", "e.v").where("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
-        cur = nxt
-        if seen[0] == seen[2] and tuple(seen) == state:
+        if state == (state := (seen.get["n"], seen.get["h"])):
             break
-        state = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())

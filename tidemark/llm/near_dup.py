@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import BASE, U, Scratch, as_long, list_array, mix, row_bounds, slices, text_shingles, utf8_text
@@ -31,9 +31,11 @@ ROWS, BANDS = 6, 50
 SKETCH = 1024
 #: Standard errors by which an estimate may fall short of the threshold before the pair is left unconfirmed.
 SLACK = 4.5
-#: Pairs of a bucket's different components that are left to a last full comparison.
-LEFT_OVER = 200_000
-PIVOT_ROUNDS = 8
+#: A bucket of up to so many nodes gets one pivot, then a comparison of its components in full; larger ones get
+#: further pivots until at most LEFT_OVER pairs between components are left, or MOST_TURNS are over, then the same.
+SMALL, LEFT_OVER, MOST_TURNS = 64, 2_000_000, 6
+#: Ids of nodes to confirm that are sent to all executors (8 MB) so that texts need not move; more are joined.
+BROADCAST_IDS = 500_000
 
 _SEEDS = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=U) * U(BASE))
 _MULTIPLY, _ADD = _SEEDS[: ROWS * BANDS] | U(1), _SEEDS[ROWS * BANDS :]
@@ -95,6 +97,63 @@ def reaches(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & (share <= most)
 
 
+class Checker:
+    """Confirms pairs of nodes and keeps the components."""
+
+    def __init__(self, text: DataFrame, facts: DataFrame, scratch: Scratch, percent: int):
+        self.text, self.facts, self.scratch, self.percent = text, facts, scratch, percent
+        self.sets: DataFrame | None = None
+        self.turn = 0
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """(u, v) of the (node, pivot) pairs that sizes and sketches leave possible."""
+        pairs = pairs.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+        a, b = self.facts.alias("a"), self.facts.alias("b")
+        return pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(reaches("a", "b", self.percent)).select("u", "v")
+
+    def apart(self, here: DataFrame) -> DataFrame:
+        """(u, v): the possible pairs between different components of a bucket."""
+        here = here.select("bucket", "node", "component").join(self.facts, "node")
+        a, b = here.alias("a"), here.alias("b")
+        on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & reaches("a", "b", self.percent)
+        return a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets reach the threshold."""
+        t = self.turn = self.turn + 1
+        pairs = self.scratch.table(pairs, f"pairs-{t}")
+        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets.select("node"), "node", "left_anti")
+        seen = Observation()
+        need = self.scratch.table(need.select(F.col("node").alias("doc_id")).observe(seen, F.count(F.lit(1)).alias("n")), f"need-{t}")
+        need = F.broadcast(need) if seen.get["n"] <= BROADCAST_IDS else need  # else texts are shuffled by doc_id
+        found = self.text.join(need, "doc_id", "left_semi").mapInArrow(each(shingle_sets), "node long, items array<long>")
+        found = self.scratch.table(found, f"sets-{t}", compression="zstd")
+        self.sets = found if self.sets is None else self.sets.union(found)
+        both = pairs.join(self.sets.toDF("u", "items_u"), "u").join(self.sets.toDF("v", "items_v"), "v")
+        both = both.select("u", "v", F.size(F.array_intersect("items_u", "items_v")).cast("long").alias("i"), (F.size("items_u") + F.size("items_v")).cast("long").alias("s"))
+        return self.scratch.table(both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).select("u", "v"), f"links-{t}")
+
+    def merge(self, links: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """(node, component) with ``links`` added to what ``labels`` has."""
+        t = self.turn
+        if labels is None:
+            # A node meets at most one pivot a band: tie its pivots to the smallest of them, once for all its nodes.
+            of = links.groupBy("v").agg(F.min("u").alias("m"), F.collect_set("u").alias("all"))
+            of = self.scratch.table(of, f"pivots-{t}")
+            ties = of.select(F.explode("all").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            return self.scratch.table(components(of.select(F.col("v").alias("u"), F.col("m").alias("v")).union(ties), self.scratch, f"cc-{t}"), f"labels-{t}")
+        if links.isEmpty():
+            return labels
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+        ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("u_of", "u").alias("a"), F.coalesce("v_of", "v").alias("b"))
+        joined = self.scratch.table(components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")), self.scratch, f"cc-{t}"), f"joined-{t}")
+        known = labels.union(ends.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("component")), F.struct(F.col("v").alias("node"), F.col("b").alias("component")))).alias("x")).select("x.*")).groupBy("node").agg(F.min("component").alias("component"))
+        moved = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        return self.scratch.table(moved.select("node", F.coalesce("to", "component").alias("component")), f"labels-{t}")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
 
@@ -118,50 +177,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         compression="zstd",
     )
     live = nodes.where("node is not null")
-    bands = live.select(F.explode("buckets").alias("bucket"), "node")
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    bands = scratch.table(bands.join(shared.select("bucket"), "bucket"), "bands")
     facts = live.select("node", "n_shingles", "sketch")
-
-    labels, edges, tested, sets = None, None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        here = bands if labels is None else bands.join(labels, "node", "left")
-        here = here.select("bucket", "node", F.coalesce("component", "node").alias("component") if labels is not None else F.col("node").alias("component"))
-        if turn:
-            mixed = here.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            mixed = scratch.table(mixed.where("n * n > same"), f"mixed-{turn}")
-            left = mixed.agg(F.sum(F.expr("(n * n - same) / 2"))).first()[0] or 0
-            if not left:
-                break
-            here = here.join(mixed.select("bucket"), "bucket")
-        last = bool(turn) and (left <= LEFT_OVER or turn == PIVOT_ROUNDS)
-        here = here.join(facts, "node")
-        if last:
-            a, b = here.alias("a"), here.alias("b")
-            pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & reaches("a", "b", percent))
-            pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        else:
-            order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-            pivot = here.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"))
-            pairs = here.select("bucket", "node", "component").join(pivot, "bucket").where("node <> pivot and component <> of")
-            pairs = pairs.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-            a, b = facts.alias("a"), facts.alias("b")
-            pairs = pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(reaches("a", "b", percent)).select("u", "v")
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        need = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v"))).distinct()
-        if sets is not None:
-            need = need.join(sets.select("node"), "node", "left_anti")
-        found = text.join(need.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(each(shingle_sets), "node long, items array<long>")
-        found = scratch.table(found, f"sets-{turn}", compression="zstd")
-        sets = found if sets is None else sets.union(found)
-        sa, sb = sets.toDF("u", "items_u"), sets.toDF("v", "items_v")
-        both = pairs.join(sa, "u").join(sb, "v").select("u", "v", F.size(F.array_intersect("items_u", "items_v")).cast("long").alias("i"), (F.size("items_u") + F.size("items_v")).cast("long").alias("s"))
-        links = scratch.table(both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("u", "v"), f"links-{turn}")
-        edges = links if edges is None else edges.union(links)
-        labels = scratch.table(components(edges, scratch, f"cc-{turn}"), f"labels-{turn}")
+    bands = live.select(F.explode("buckets").alias("bucket"), "node")
+    pivots = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    bands = scratch.table(bands.join(pivots, "bucket").select("bucket", "node", "pivot", "n"), "bands")
+    checked = Checker(text, facts, scratch, percent)
+
+    labels = checked.merge(checked.links(checked.likely(bands.select("node", "pivot"))), None)
+    for turn in range(1, MOST_TURNS + 1):
+        here = bands.where(f"n > {SMALL}") if turn > 1 else bands
+        here = here.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("p")).where("low < high")
+        here = here.join(mixed.select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "bucket")
+        here = scratch.table(here, f"mixed-{turn}")
+        large = here.where(f"n > {SMALL}")
+        same = large.groupBy("bucket", "n", "component").agg(F.count("*").alias("m")).groupBy("bucket", "n").agg(F.sum(F.col("m") * F.col("m")).alias("same"))
+        left = same.agg(F.sum(F.expr("(n * n - same) / 2"))).first()[0] or 0
+        last = left <= LEFT_OVER or turn == MOST_TURNS
+        whole = here if last else here.where(f"n <= {SMALL}")
+        pairs = checked.apart(whole) if last or turn == 1 else None
+        if not last:
+            star = checked.likely(large.where("component <> of").select("node", "pivot"))
+            pairs = star if pairs is None else pairs.union(star)
+        labels = checked.merge(checked.links(pairs), labels)
         if last:
             break
 
