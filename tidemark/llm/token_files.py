@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, mix, slices, utf8_text
+from .common import BASE, U, lower_ascii, mix, prefix_hash, range_hash, slices, utf8_text
 
 #: Ids of a segment, from which the next one begins (4 MB); a longer document has one alone.
 SEGMENT_IDS = 1_000_000
-#: Encoded words that a worker remembers.
-MEMORY = 300_000
+#: Encoded pieces that a worker remembers, in each of two generations (about 30 MB).
+MEMORY = 600_000
 SEGMENTS = "part int, segment int, first_key long, last_key long, n_docs int, n_ids long, start long, keys binary, ids binary, index binary"
 DOCS = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
 
@@ -37,40 +37,123 @@ DOCS = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
 # ------------------------------------------------------------------------- encoding
 
 
+# Byte classes: white space, letter, digit, other ASCII sign, and what may combine with its neighbours.
+BLANK, LETTER, DIGIT, SIGN, OPEN = range(5)
+CLASS = np.full(256, OPEN, np.uint8)
+CLASS[[0x20, 9, 10, 11, 12, 13]] = BLANK
+CLASS[33:127] = SIGN
+CLASS[48:58] = DIGIT
+CLASS[65:91] = LETTER
+CLASS[97:123] = LETTER
+CLASS[39] = OPEN  # an apostrophe begins contractions
+
+
 class Encoder:
-    """Encodes texts as the tokenizer does, word by word.
+    """Encodes texts as the library's tokenizer does, each distinct piece once.
 
-    The tokenizer drops ASCII white space and no token or normalisation reaches over it,
-    so the ids of a text are those of its white-space-separated pieces. Each distinct
-    piece is encoded by the library once and remembered."""
+    What is relied on: the tokenizer drops white space, splits between letters, single digits
+    and runs of other signs, and no normalisation reaches over a border between two ASCII
+    characters of different kinds. So a text's ids are those of its pieces, cut at white
+    space and at such borders (apostrophes and all beyond ASCII are left joined to their
+    neighbours). Pieces of ASCII letters go to the tokenizer's model directly, all others
+    through the whole tokenizer. Texts that hold a special token's opening are encoded
+    as a whole. Pieces are remembered by a 64-bit hash, in two generations."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end = struct.pack("<I", end_id)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, pieces: list[bytes]) -> None:
-        if len(self.known) + len(pieces) > MEMORY:
-            self.known.clear()
-        encode = self.tokenizer.encode_batch_fast
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            for p, e in zip(some, encode([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text, with the end id."""
-        split = [t.split() for t in texts]
-        wanted = set().union(*split)
-        new = [p for p in wanted if p not in self.known]
-        if new:
-            self.learn(new)
-            if len(self.known) < len(wanted):  # memory was cleared
-                self.learn([p for p in wanted if p not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) + self.end for s in split]
+        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        self.model = self.tokenizer.model
+        self.special = tuple({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.old = self.young = (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+
+    @staticmethod
+    def _find(memory: tuple[np.ndarray, ...], h: np.ndarray) -> np.ndarray:
+        if not len(memory[0]):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(memory[0], h), len(memory[0]) - 1)
+        return np.where(memory[0][at] == h, at, -1)
+
+    def _encoded(self, pieces: list[bytes], plain: np.ndarray) -> list[list[int]]:
+        tokenize = self.model.tokenize
+        out = [[t.id for t in tokenize(p.decode())] if easy else None for p, easy in zip(pieces, plain.tolist(), strict=True)]
+        hard = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(hard, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in hard], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a slice, each with the end id, and the texts' counts."""
+        n = len(offs) - 1
+        low = lower_ascii(data)
+        kind = CLASS[low]
+        start = kind != BLANK
+        if len(kind):
+            start[1:] &= (kind[:-1] == BLANK) | ((kind[1:] != kind[:-1]) & (kind[1:] != OPEN) & (kind[:-1] != OPEN)) | ((kind[1:] == DIGIT) & (kind[:-1] == DIGIT))
+            edge = offs[:-1][offs[:-1] < offs[1:]]
+            start[edge] = kind[edge] != BLANK
+        s = np.flatnonzero(start)
+        row = np.searchsorted(offs, s, "right") - 1
+        stop = kind == BLANK
+        blank = np.append(np.flatnonzero(stop), len(kind))
+        e = np.minimum(np.append(s[1:], len(kind)), blank[np.searchsorted(blank, s)]) if len(s) else s
+        e = np.minimum(e, offs[row + 1])
+        h, first, inverse = np.unique(range_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
+        place, before = self._find(self.young, h), self._find(self.old, h)
+        size = np.zeros(len(h), np.int64)
+        for memory, at in ((self.old, before), (self.young, place)):
+            has = at >= 0
+            size[has] = memory[1][at[has] + 1] - memory[1][at[has]]
+        new = np.flatnonzero((place < 0) & (before < 0))
+        raw = low.tobytes()
+        a, b = s[first[new]], e[first[new]]
+        letters = np.append(0, np.cumsum(kind == LETTER))
+        fresh = self._encoded([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], letters[b] - letters[a] == b - a)
+        size[new] = [len(x) for x in fresh]
+        bounds = np.append(0, np.cumsum(size))
+        pool = np.empty(bounds[-1], "<u4")
+        for memory, at in ((self.old, before), (self.young, place)):
+            has = np.flatnonzero(at >= 0)
+            pool[_ranges(bounds[has], size[has])] = memory[2][_ranges(memory[1][at[has]], size[has])]
+        if len(new):
+            pool[_ranges(bounds[new], size[new])] = np.fromiter((t for x in fresh for t in x), np.uint32)
+        self._remember(h[place < 0], size[place < 0], pool[_ranges(bounds[:-1][place < 0], size[place < 0])])
+        many = size[inverse]
+        per = np.bincount(row, many, n).astype(np.int64)
+        out = np.full(per.sum() + n, self.end, "<u4")
+        out[_ranges(np.append(0, np.cumsum(many))[:-1] + row, many)] = pool[_ranges(bounds[:-1][inverse], many)]
+        return self._with_specials(data, offs, out, per + 1)
+
+    def _with_specials(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        if not any(x in raw for x in self.special):
+            return ids, count
+        at = np.append(0, np.cumsum(count))
+        parts = []
+        for i, (x, y) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            part = ids[at[i] : at[i + 1]]
+            if any(t in raw[x:y] for t in self.special):
+                part = np.array([*self.tokenizer.encode(raw[x:y].decode(), add_special_tokens=False).ids, self.end], "<u4")
+            parts.append(part)
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def _remember(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Adds pieces (hashes in order); a full generation becomes the old one."""
+        if len(self.young[0]) + len(h) > MEMORY:
+            self.old, self.young = self.young, (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+        y = self.young
+        order = np.argsort(np.concatenate([y[0], h]), kind="stable")
+        sizes = np.concatenate([np.diff(y[1]), size])
+        starts = np.concatenate([y[1][:-1], len(y[2]) + np.cumsum(size) - size])
+        self.young = np.concatenate([y[0], h])[order], np.append(0, np.cumsum(sizes[order])), np.concatenate([y[2], ids])[_ranges(starts[order], sizes[order])]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... for each range, one after the other."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1]) + np.repeat(start - ends + size, size)
 
 
 # ------------------------------------------------------------- minimal perfect hash
@@ -182,9 +265,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
         for batch in batches:
             for rows, data, offs in slices(batch):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                for key, blob in zip(rows.column(0).to_pylist(), made[0].ids(texts), strict=True):
+                ids, many = made[0].ids(data, offs)
+                ids, cut = memoryview(ids.tobytes()), np.append(0, np.cumsum(many) * 4).tolist()
+                for key, a, b in zip(rows.column(0).to_pylist(), cut[:-1], cut[1:], strict=True):
+                    blob = ids[a:b]
                     key = NULL_KEY if key is None else key
                     copy = last[1] + 1 if last and last[0] == key else 0
                     last = key, copy
