@@ -5,22 +5,21 @@ Suffixes are sorted where strings can repeat, not everywhere. In every window of
 windows have equal anchors at the same place; one anchor serves a run of windows, and the
 run with all its bytes is the anchor's context (at most 80 bytes).
 
-1. Anchor hashes of all documents are sorted by value; anchors that stand in one document
-   only are dropped.
-2. Documents meet the list of their repeated anchors and give those anchors' contexts,
-   each once, with the doc_id.
-3. Contexts are dealt by anchor and sorted. A context that a smaller doc_id has too is
-   covered as a whole. The windows of an anchor's different contexts are suffixes of the
-   block's text: a mergesort orders them, comparing two suffixes by the longest common
-   extension, which prefix polynomial hashes and a binary search give in six probes.
-   Neighbours that agree in 50 bytes are verified byte by byte; the smallest doc_id of a
-   run of equal suffixes decides. An anchor with more contexts than a block may hold is
-   not sorted there: its windows are dealt by their own hashes instead and compared by an
-   aggregate, which has no hot key.
+1. Texts that a smaller doc_id has too as a whole are found by their hashes; they go, and
+   take no further part.
+2. Every other document gives its anchors with hashes of their contexts. Dealt by anchor
+   and sorted, they show which contexts a smaller doc_id has too (covered as a whole) and
+   which first contexts stand beside different ones of the same anchor.
+3. The latter's bytes are dealt by anchor. Their windows are suffixes of a block's text: a
+   mergesort orders them, comparing two suffixes by the longest common extension, which
+   prefix polynomial hashes and a binary search give in six probes. Neighbours that agree
+   in 50 bytes are verified byte by byte; the smallest doc_id of a run of equal suffixes
+   decides. Windows of an anchor with more contexts than a block may hold are dealt by
+   their own 128-bit hashes instead, so that no anchor is one task's work.
 4. Documents meet what was found, cut the covered bytes and hash the rest.
 
-Steps 2 and 4 share one exchange of the texts. Every step streams sorted rows in bounded
-blocks, so no group is held in memory as a whole.
+The texts are exchanged once, by doc_id, for all steps. Every step streams sorted rows in
+bounded blocks, so no group is held in memory as a whole.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from .common import U, as_long, mix, powers, prefix_hash, slices, utf8_text
 
 WINDOW, ANCHOR = 50, 20
 SPAN = WINDOW - ANCHOR + 1
-#: Rows of contexts that are sorted together; contexts of one anchor up to which they are.
+#: Rows that are handled together; contexts of one anchor up to which they are sorted.
 BLOCK, GROUP = 16_384, 2_048
 NO_ID = (1 << 63) - 1
 PLACE = U((1 << 28) - 1)
@@ -72,18 +71,10 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def context_hash(h: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """48 bits, used beside the 64 of the anchor; shorter values travel better."""
     _, inv = powers(len(h))
     size = last + WINDOW - first
-    return mix(mix((h[last + WINDOW] - h[first]) * inv[first] + size.astype(U)) + (at - first).astype(U))
-
-
-def row_keys(data: np.ndarray, offs: np.ndarray, h: np.ndarray) -> np.ndarray:
-    _, inv = powers(len(h))
-    return mix((h[offs[1:]] - h[offs[:-1]]) * inv[offs[:-1]] + (offs[1:] - offs[:-1]).astype(U))
-
-
-def ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    return mix(mix((h[last + WINDOW] - h[first]) * inv[first] + size.astype(U)) + (at - first).astype(U)) >> U(16)
 
 
 def once(*keys: np.ndarray) -> np.ndarray:
@@ -95,61 +86,127 @@ def once(*keys: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+ASKED = "anchor long, id long, context long"
+VERDICTS = "id long, kind byte, context long"
+COVERED, SORT, DEAL = 0, 1, 2
+
+
 def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, in documents: (anchor, doc_id), each once."""
+    """Step 2, in documents: anchors with their contexts, each once."""
     for batch in batches:
         for rows, data, offs in slices(batch):
-            v, _, _, _, row, _ = anchors(data, offs)
-            keep = once(row, v)
-            yield pa.record_batch([pa.array(as_long(v[keep])), pa.array(ids(rows.column(0))[row[keep]])], names=["anchor", "doc_id"])
+            v, at, first, last, row, h = anchors(data, offs)
+            c = context_hash(h, at, first, last)
+            keep = once(row, c, v)
+            yield pa.record_batch([pa.array(as_long(v[keep])), rows.column(0).take(pa.array(row[keep])), pa.array(as_long(c[keep]))], names=["anchor", "id", "context"])
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, in sorted anchors: rows whose anchor their neighbour has too."""
-    held: tuple[int, int, bool] | None = None  # last row so far and whether it equals the one before
+def by_key(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Runs of rows in which no key (column 0, sorted) is broken off, or, of a key with
+    more than twice ``size`` rows, parts; and whether the last key has no more rows."""
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        same = np.zeros(len(a) + 1, bool)
-        same[1:-1] = a[1:] == a[:-1]
-        if held:
-            same[0] = held[0] == a[0]
-            if held[2] or same[0]:
-                yield pa.record_batch([pa.array([held[1]]), pa.array([held[0]])], names=["doc_id", "anchor"])
-        keep = np.flatnonzero(same[:-2] | same[1:-1]) if len(a) > 1 else np.zeros(0, np.int64)
-        yield pa.record_batch([pa.array(d[keep]), pa.array(a[keep])], names=["doc_id", "anchor"])
-        held = int(a[-1]), int(d[-1]), bool(same[-2])
-    if held and held[2]:
-        yield pa.record_batch([pa.array([held[1]]), pa.array([held[0]])], names=["doc_id", "anchor"])
+        for i in range(0, batch.num_rows, size):
+            part = batch.slice(i, size)
+            rows = pa.Table.from_batches([held, part] if held is not None else [part]).combine_chunks().to_batches()[0]
+            a = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(a, a[-1], "left"))  # where the last key begins
+            if cut and len(a) >= size // 2:
+                yield rows.slice(0, cut), True
+                held = rows.slice(cut)
+            elif not cut and len(a) > 2 * size:
+                yield rows, False
+                held = None
+            else:
+                held = rows
+    if held is not None and held.num_rows:
+        yield held, True
+
+
+def judge(batches: Iterator[pa.RecordBatch], size: int, group: int) -> Iterator[pa.RecordBatch]:
+    """Step 2, over rows sorted by (anchor, context, id)."""
+    last: tuple[int, int, int] | None = None  # anchor and context of the last row, and the context's smallest id
+    wide: int | None = None  # an anchor of several blocks
+    for rows, ended in by_key(batches, size):
+        a, d, c = (rows.column(i).to_numpy() for i in range(3))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        if last and last[:2] == (int(a[0]), int(c[0])):
+            new[0] = False
+        first = np.flatnonzero(new)
+        low = np.append(d[first], last[2] if last else 0)[np.cumsum(new) - 1]
+        begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        count = np.add.reduceat(new, begin)
+        many = count > group
+        several = count > 1
+        if wide == int(a[0]):
+            several[0] = many[0] = True
+        if not ended:
+            several[-1] = many[-1] = True
+            wide = int(a[-1])
+        which = np.searchsorted(begin, first, "right") - 1
+        later = np.flatnonzero(d > low)
+        ask_for = first[several[which]]
+        kind = np.where(many[which], DEAL, SORT)[several[which]]
+        last = int(a[-1]), int(c[-1]), int(low[-1])
+        yield pa.record_batch(
+            [pa.array(np.append(d[later], d[ask_for])), pa.array(np.append(np.full(len(later), COVERED), kind).astype(np.int8)), pa.array(np.append(c[later], c[ask_for]))], names=["id", "kind", "context"]
+        )
+
+
+DEALT = "key long, second long, id long, bytes binary"
+MASKS = "id long, context long, windows long"
+
+
+def listed(column: pa.Array, n_rows: int) -> tuple[np.ndarray, ...]:
+    """(row, fields...) of a column of arrays of structs."""
+    size = np.asarray(column.value_lengths().fill_null(0))
+    flat = column.flatten()
+    return np.repeat(np.arange(n_rows), size), *(flat.field(i).to_numpy() for i in range(flat.type.num_fields))
+
+
+def binary(parts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(parts)])
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: the contexts of a document's repeated anchors, each once."""
+    """Step 3, in documents: for SORT, (anchor, 0, id, place and bytes of the context); for
+    DEAL, (window hash, second hash, id, context and step) of every window."""
     for batch in batches:
         for rows, data, offs in slices(batch):
+            of, kind, name = listed(rows.column(2), rows.num_rows)
+            if not len(of):
+                continue
             v, at, first, last, row, h = anchors(data, offs)
-            lists = rows.column(2)
-            size = np.asarray(lists.value_lengths().fill_null(0))
-            asked = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            of = np.repeat(np.arange(rows.num_rows), size)
-            order = np.lexsort((asked, of))
-            pick = mix(asked[order] + mix(of[order].astype(U)))
-            keep = np.isin(mix(v + mix(row.astype(U))), pick)
-            v, at, first, last, row = v[keep], at[keep], first[keep], last[keep], row[keep]
             c = context_hash(h, at, first, last)
-            keep = once(row, c)
-            v, at, first, last, row, c = v[keep], at[keep], first[keep], last[keep], row[keep], c[keep]
-            n = last + WINDOW - first
-            ends = np.cumsum(n)
-            where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + n, n)
-            text = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[where])])
-            keys = as_long(row_keys(data, offs, h))
-            yield pa.record_batch([pa.array(as_long(v)), pa.array((at - first).astype(np.int8)), text, pa.array(ids(rows.column(0))[row]), pa.array(keys[row]), pa.array(as_long(c))], names=[x.split()[0] for x in CONTEXTS.split(", ")])
-
-
-CONTEXTS = "anchor long, place byte, bytes binary, doc_id long, row_key long, context long"
-FOUND = "kind byte, doc_id long, row_key long, context long, windows long, bytes binary"
+            own = mix(c + mix(row.astype(U)))
+            id_ = rows.column(0)
+            for k in (SORT, DEAL):
+                some = kind == k
+                if not some.any():
+                    continue
+                keep = np.flatnonzero(np.isin(own, mix(name[some].view(U) + mix(of[some].astype(U)))))
+                keep = keep[once(row[keep], c[keep])]
+                f, l, r = first[keep], last[keep], row[keep]
+                if k == SORT:
+                    n = l + WINDOW - f + 1
+                    ends = np.cumsum(n)
+                    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(f - 1 - ends + n, n)
+                    text = data[np.maximum(where, 0)]
+                    text[ends - n] = (at[keep] - f).astype(np.uint8)
+                    yield pa.record_batch([pa.array(as_long(v[keep])), pa.array(np.zeros(len(keep), np.int64)), id_.take(pa.array(r)), binary(text, ends)], names=["key", "second", "id", "bytes"])
+                    continue
+                n = l - f + 1
+                which = np.repeat(np.arange(len(keep)), n)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                w = f[which] + step
+                h2 = prefix_hash((mix(data.astype(U)) >> U(56)).astype(np.uint8))
+                inv = powers(len(h))[1]
+                one, two = (mix((x[w + WINDOW] - x[w]) * inv[w] + U(i)) for i, x in enumerate((h, h2)))
+                tail = np.empty((len(w), 9), np.uint8)
+                tail[:, :8] = c[keep][which].astype("<u8").view(np.uint8).reshape(-1, 8)
+                tail[:, 8] = step
+                yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two | U(1))), id_.take(pa.array(r[which])), binary(tail.ravel(), np.arange(1, len(w) + 1) * 9)], names=["key", "second", "id", "bytes"])
 
 
 class Suffixes:
@@ -225,136 +282,73 @@ class Suffixes:
         return new
 
 
-class Sorter:
-    """Step 3 over rows sorted by (anchor, place, bytes, doc_id), in blocks."""
-
-    def __init__(self, block: int, group: int):
-        self.size, self.group = block, group
-        self.last: tuple[int, int, bytes, int] | None = None  # context of the last row, and its smallest doc_id
-        self.wide: int | None = None  # an anchor that has gone over to kind 1
+def masks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Step 3, over rows sorted by (key, second, id): which windows of a context a smaller
+    doc_id has too, as bits."""
+    last: tuple[int, int, int] | None = None  # key and second of the last window, and its smallest id
+    for rows, _ in by_key(batches, size):
+        key, second, d = (rows.column(i).to_numpy() for i in range(3))
+        dealt = np.flatnonzero(second != 0)
+        if len(dealt):
+            k, t, i = key[dealt], second[dealt], d[dealt]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+            if last and last[:2] == (int(k[0]), int(t[0])):
+                new[0] = False
+            low = np.append(i[new], last[2] if last else 0)[np.cumsum(new) - 1]
+            last = int(k[-1]), int(t[-1]), int(low[-1])
+            hit = np.flatnonzero(i > low)
+            if len(hit):
+                tail = np.frombuffer(b"".join(rows.column(3).take(pa.array(dealt[hit])).to_pylist()), np.uint8).reshape(-1, 9)
+                yield pa.record_batch([pa.array(i[hit]), pa.array(np.ascontiguousarray(tail[:, :8]).view("<i8").ravel()), pa.array(np.int64(1) << tail[:, 8].astype(np.int64))], names=["id", "context", "windows"])
+        own = rows.filter(pa.array(second == 0)) if len(dealt) else rows
+        if own.num_rows:
+            yield from sort_block(own)
+
+
+def sort_block(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    key, d, col = rows.column(0).to_numpy(), rows.column(2).to_numpy(), rows.column(3)
+    offs = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    offs = offs - offs[0]
+    place, start, end = data[offs[:-1]].astype(np.int64), offs[:-1] + 1, offs[1:]
+    n = end - start - WINDOW + 1
+    which = np.repeat(np.arange(len(key)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    at = start[which] + step
+    group = (np.cumsum(np.append(True, key[1:] != key[:-1])) - 1)[which] * 64 + place[which] - step + 32
+    s = Suffixes(data)
+    order = s.sort(at, group)
+    begin = np.flatnonzero(s.runs(at, group, order))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(d[which][order], begin), np.diff(np.append(begin, len(order))))
+    bits = np.bincount(which, np.where(least < d[which], 2.0 ** step.astype(float), 0), len(key)).astype(np.int64)
+    hit = np.flatnonzero(bits)
+    if len(hit):
+        c = context_hash(s.h, start + place, start, end - WINDOW)
+        yield pa.record_batch([pa.array(d[hit]), pa.array(as_long(c[hit])), pa.array(bits[hit])], names=["id", "context", "windows"])
 
-    def answer(self, kind: int, d: np.ndarray, k: np.ndarray, c: np.ndarray, windows: np.ndarray, text: pa.Array | None = None) -> pa.RecordBatch:
-        n = len(d)
-        return pa.record_batch([pa.array(np.full(n, kind, np.int8)), pa.array(d), pa.array(k), pa.array(c), pa.array(windows), pa.nulls(n, pa.binary()) if text is None else text], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    def block(self, rows: pa.RecordBatch, ended: bool) -> Iterator[pa.RecordBatch]:
-        """Answers of ``rows``; ``ended``: the last anchor has no more rows."""
-        a, place, d, k, c = (rows.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
-        col = rows.column(2)
-        offs = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
-        data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
-        offs = offs - offs[0]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (place[1:] != place[:-1]) | (c[1:] != c[:-1])
-        if self.last and (self.last[0], self.last[1], self.last[2]) == (int(a[0]), int(place[0]), bytes(col[0].as_py())):
-            new[0] = False
-        first = np.flatnonzero(new)
-        low = np.zeros(len(a), np.int64)
-        ctx = np.cumsum(new) - 1
-        if len(first):
-            low = d[first][np.maximum(ctx, 0)]
-        low[ctx < 0] = self.last[3] if self.last else 0
-        later = np.flatnonzero(d > low)
-        if len(later):
-            yield self.answer(0, d[later], k[later], c[later], np.full(len(later), WHOLE, np.int64))
-        self.last = int(a[-1]), int(place[-1]), bytes(col[-1].as_py()), int(low[-1])
-        if not len(first):
-            return
-        # The contexts, each once, by anchor.
-        anchor = a[first]
-        group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])) - 1
-        count = np.bincount(group)
-        wide = count > self.group
-        if self.wide == int(anchor[0]):
-            wide[0] = True
-        if not ended:
-            wide[-1] = True  # it goes on in the next block
-            self.wide = int(anchor[-1])
-        apart = wide[group]
-        if apart.any():
-            own = np.flatnonzero((d == low) & (np.append(apart, self.wide == int(a[0]))[ctx]))
-            yield self.answer(1, d[own], k[own], c[own], place[own].astype(np.int64), col.take(pa.array(own)))
-        some = np.flatnonzero((count[group] > 1) & ~apart)
-        if not len(some):
-            return
-        start, n = offs[first[some]], offs[first[some] + 1] - offs[first[some]] - WINDOW + 1
-        which = np.repeat(np.arange(len(some)), n)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        at = start[which] + step
-        align = group[some][which] * 64 + place[first[some]][which] - step
-        s = Suffixes(data)
-        order = s.sort(at, align)
-        begin = np.flatnonzero(s.runs(at, align, order))
-        doc = d[first[some]][which]
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(order))))
-        bits = np.bincount(which, np.where(least < doc, 2.0 ** step.astype(float), 0), len(some)).astype(np.int64)
-        mask = np.zeros(len(first), np.int64)
-        mask[some] = bits
-        own = np.flatnonzero((d == low) & (ctx >= 0))
-        own = own[mask[ctx[own]] > 0]
-        if len(own):
-            yield self.answer(0, d[own], k[own], c[own], mask[ctx[own]])
-
-    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            for i in range(0, batch.num_rows, self.size):
-                part = batch.slice(i, self.size)
-                table = pa.Table.from_batches([held, part] if held is not None else [part]).combine_chunks()
-                rows = table.to_batches()[0]
-                a = rows.column(0).to_numpy()
-                cut = int(np.searchsorted(a, a[-1], "left"))  # where the last anchor begins
-                if cut and len(a) >= self.size // 2:
-                    yield from self.block(rows.slice(0, cut), True)
-                    held = rows.slice(cut)
-                elif not cut and len(a) > 2 * self.size:
-                    yield from self.block(rows, False)
-                    held = None
-                else:
-                    held = rows
-        if held is not None and held.num_rows:
-            yield from self.block(held, True)
-
-
-WINDOWS = "w1 long, w2 long, doc_id long, row_key long, context long, step byte"
-
-
-def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of contexts of kind 1, with 128-bit hashes."""
-    for batch in batches:
-        for rows, data, offs in slices(batch, "bytes"):
-            n = offs[1:] - offs[:-1] - WINDOW + 1
-            which = np.repeat(np.arange(rows.num_rows), n)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            at = offs[:-1][which] + step
-            h = prefix_hash(data)
-            one = mix((h[at + WINDOW] - h[at]) * powers(len(h))[1][at])
-            h2 = prefix_hash((mix(data.astype(U)) >> U(56)).astype(np.uint8))
-            two = mix((h2[at + WINDOW] - h2[at]) * powers(len(h2))[1][at])
-            d, k, c = (rows.column(i).to_numpy()[which] for i in (1, 2, 3))
-            yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(d), pa.array(k), pa.array(c), pa.array(step.astype(np.int8))], names=[x.split()[0] for x in WINDOWS.split(", ")])
-
-
-def cover(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Which bytes of a slice are covered (step 4); columns 2 and 3: row keys with
-    contexts, and their windows."""
-    v, at, first, last, row, h = anchors(data, offs)
+def cover(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+    """Which bytes of a slice are covered (step 4). Columns: id, text, whether the text is a
+    copy, verdicts, masks."""
+    of, kind, con = listed(rows.column(3), rows.num_rows)
+    of2, con2, win2 = listed(rows.column(4), rows.num_rows)
+    whole = kind == COVERED
+    of, con, win = np.append(of[whole], of2), np.append(con[whole], con2), np.append(np.full(int(whole.sum()), WHOLE), win2)
     edge = np.zeros(len(data) + 1, np.int32)
-    found = rows.column(2)
-    size = np.asarray(found.value_lengths().fill_null(0))
-    if not size.sum():
-        return np.zeros(len(data), bool), h
-    flat = found.flatten()
-    key, con, win = (flat.field(i).to_numpy() for i in range(3))
-    of = np.repeat(np.arange(rows.num_rows), size)
-    mine = key.view(U) == row_keys(data, offs, h)[of]
-    name = mix(con[mine].view(U) + mix(of[mine].astype(U)))
+    copy = np.flatnonzero(np.asarray(rows.column(2).fill_null(False)) & (offs[1:] - offs[:-1] >= WINDOW))
+    np.add.at(edge, offs[:-1][copy], 1)
+    np.add.at(edge, offs[1:][copy], -1)
+    if not len(of):
+        return np.cumsum(edge[:-1]) > 0
+    v, at, first, last, row, h = anchors(data, offs)
+    name = mix(con.view(U) + mix(of.astype(U)))
     order = np.argsort(name)
-    name, win = name[order], win[mine][order]
+    name, win = name[order], win[order]
     own = mix(context_hash(h, at, first, last) + mix(row.astype(U)))
     place = np.minimum(np.searchsorted(name, own), max(0, len(name) - 1))
-    hit = np.flatnonzero(name[place] == own) if len(name) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(name[place] == own)
     if len(hit):
         begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         mask = np.bitwise_or.reduceat(win, begin)[np.searchsorted(name[begin], own[hit])]
@@ -367,14 +361,19 @@ def cover(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> tuple[np.
                 edge[f + j] += 1
                 edge[f + j + WINDOW] -= 1
                 bits &= bits - 1
-    return np.cumsum(edge[:-1]) > 0, h
+    return np.cumsum(edge[:-1]) > 0
+
+
+def doc_ids(rows: pa.RecordBatch) -> pa.Array:
+    id_ = rows.column(0).to_numpy()
+    return pa.array(id_, mask=id_ == NO_ID)
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4: counts and hash of what is left."""
     for batch in batches:
         for rows, data, offs in slices(batch):
-            gone, _ = cover(data, offs, rows)
+            gone = cover(data, offs, rows)
             total = np.append(0, np.cumsum(gone))
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
@@ -384,16 +383,16 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = []
             for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 left.append(hashlib.sha256((data[s:e] if total[e] == total[s] else data[s:e][~gone[s:e]]).tobytes()).hexdigest())
-            yield pa.record_batch([rows.column(0), pa.array(offs[1:] - offs[:-1]), pa.array(total[offs[1:]] - total[offs[:-1]]), pa.array(spans[offs[1:]] - spans[offs[:-1]]), pa.array(left)], names=[x.split()[0] for x in RESULT.split(", ")])
+            yield pa.record_batch([doc_ids(rows), pa.array(offs[1:] - offs[:-1]), pa.array(total[offs[1:]] - total[offs[:-1]]), pa.array(spans[offs[1:]] - spans[offs[:-1]]), pa.array(left)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4 for those who want the bytes that are left."""
     for batch in batches:
         for rows, data, offs in slices(batch):
-            gone, _ = cover(data, offs, rows)
+            gone = cover(data, offs, rows)
             left = [data[s:e][~gone[s:e]].tobytes() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.record_batch([rows.column(0), pa.array(left, pa.binary())], names=["doc_id", "kept"])
+            yield pa.record_batch([doc_ids(rows), pa.array(left, pa.binary())], names=["doc_id", "kept"])
 
 
 def repeated_strings(docs: DataFrame, bytes_left: bool = False, block: int = BLOCK, group: int = GROUP) -> DataFrame:
@@ -404,17 +403,16 @@ def repeated_strings(docs: DataFrame, bytes_left: bool = False, block: int = BLO
     a row with a smaller doc_id, judged on the input. Null texts count as empty; texts
     under 50 bytes lose nothing. Rows that share a doc_id do not cover each other; null
     doc_ids count as the largest. Other columns are not read."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8_text())
-    keyed = text.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    asked = text.mapInArrow(ask, "anchor long, doc_id long").repartition("anchor").sortWithinPartitions("anchor")
-    lists = asked.mapInArrow(repeated, "doc_id long, anchor long").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("anchor").alias("anchors"))
-    met = keyed.join(lists, "id").select("doc_id", "text", "anchors")
-    dealt = met.mapInArrow(contexts, CONTEXTS).repartition("anchor").sortWithinPartitions("anchor", "place", "bytes", "doc_id")
-    found = dealt.mapInArrow(lambda batches: Sorter(block, group).run(batches), FOUND)
-    some = found.where("kind = 0").select("doc_id", "row_key", "context", "windows")
-    apart = found.where("kind = 1").mapInArrow(spread, WINDOWS)
-    least = apart.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
-    more = apart.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id", "row_key", "context").agg(F.expr("bit_or(shiftleft(1L, cast(step as int)))").alias("windows"))
-    answers = some.unionAll(more).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("row_key", "context", "windows")).alias("found"))
-    rows = keyed.join(answers, "id", "left").select("doc_id", "text", "found")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), utf8_text())
+    marks = keyed.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n"))
+    first = marks.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.max("id").alias("most")).where("first < most").select("h1", "h2", "n", "first")
+    copies = marks.join(first, ["h1", "h2", "n"], "left").groupBy("id").agg(F.min(F.coalesce(F.col("first") < F.col("id"), F.lit(False))).alias("copy")).where("copy")
+    rows = keyed.join(copies, "id", "left")
+    asked = rows.where("copy is null").select("id", "text").mapInArrow(ask, ASKED).repartition("anchor").sortWithinPartitions("anchor", "context", "id")
+    verdicts = asked.mapInArrow(lambda batches: judge(batches, block, group), VERDICTS).groupBy("id").agg(F.collect_list(F.struct("kind", "context")).alias("verdicts"))
+    wanted = F.filter("verdicts", lambda x: x["kind"] > F.lit(COVERED))
+    met = keyed.join(verdicts, "id").select("id", "text", wanted.alias("wanted")).where(F.size("wanted") > 0)
+    dealt = met.mapInArrow(contexts, DEALT).repartition("key").sortWithinPartitions("key", "second", "id")
+    found = dealt.mapInArrow(lambda batches: masks(batches, block), MASKS).groupBy("id").agg(F.collect_list(F.struct("context", "windows")).alias("masks"))
+    rows = rows.join(verdicts, "id", "left").join(found, "id", "left").select("id", "text", "copy", "verdicts", "masks")
     return rows.mapInArrow(cut, "doc_id long, kept binary") if bytes_left else rows.mapInArrow(remove, RESULT)
