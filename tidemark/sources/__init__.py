@@ -1,0 +1 @@
+"""Sources and sinks of bars, universes and reports."""
