@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import BASE, U, lower_ascii, mix, prefix_hash, range_hash, slices, utf8_text
 
-#: Ids of a segment, from which the next one begins (4 MB); a longer document has one alone.
-SEGMENT_IDS = 1_000_000
-#: Encoded pieces that a worker remembers, in each of two generations (about 30 MB).
+#: Ids of a segment, from which the next one begins (1 MB); a longer document has one alone.
+SEGMENT_IDS = 250_000
+#: Encoded pieces that a worker remembers, in each of two generations (about 20 MB).
 MEMORY = 600_000
 SEGMENTS = "part int, segment int, first_key long, last_key long, n_docs int, n_ids long, start long, keys binary, ids binary, index binary"
 DOCS = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
@@ -57,7 +57,7 @@ class Encoder:
     space and at such borders (apostrophes and all beyond ASCII are left joined to their
     neighbours). Pieces of ASCII letters go to the tokenizer's model directly, all others
     through the whole tokenizer. Texts that hold a special token's opening are encoded
-    as a whole. Pieces are remembered by a 64-bit hash, in two generations."""
+    as a whole. Pieces are remembered by a 64-bit hash, in generations."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -65,7 +65,7 @@ class Encoder:
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.model = self.tokenizer.model
         self.special = tuple({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.old = self.young = (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+        self.memory = [NOTHING] * 3  # new, young, old
 
     @staticmethod
     def _find(memory: tuple[np.ndarray, ...], h: np.ndarray) -> np.ndarray:
@@ -99,12 +99,12 @@ class Encoder:
         e = np.minimum(np.append(s[1:], len(kind)), blank[np.searchsorted(blank, s)]) if len(s) else s
         e = np.minimum(e, offs[row + 1])
         h, first, inverse = np.unique(range_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
-        place, before = self._find(self.young, h), self._find(self.old, h)
+        places = [self._find(m, h) for m in self.memory]
         size = np.zeros(len(h), np.int64)
-        for memory, at in ((self.old, before), (self.young, place)):
+        for memory, at in zip(self.memory[::-1], places[::-1], strict=True):
             has = at >= 0
             size[has] = memory[1][at[has] + 1] - memory[1][at[has]]
-        new = np.flatnonzero((place < 0) & (before < 0))
+        new = np.flatnonzero(np.maximum.reduce(places) < 0)
         raw = low.tobytes()
         a, b = s[first[new]], e[first[new]]
         letters = np.append(0, np.cumsum(kind == LETTER))
@@ -112,12 +112,13 @@ class Encoder:
         size[new] = [len(x) for x in fresh]
         bounds = np.append(0, np.cumsum(size))
         pool = np.empty(bounds[-1], "<u4")
-        for memory, at in ((self.old, before), (self.young, place)):
+        for memory, at in zip(self.memory[::-1], places[::-1], strict=True):
             has = np.flatnonzero(at >= 0)
             pool[_ranges(bounds[has], size[has])] = memory[2][_ranges(memory[1][at[has]], size[has])]
         if len(new):
             pool[_ranges(bounds[new], size[new])] = np.fromiter((t for x in fresh for t in x), np.uint32)
-        self._remember(h[place < 0], size[place < 0], pool[_ranges(bounds[:-1][place < 0], size[place < 0])])
+        late = np.flatnonzero(np.maximum(places[0], places[1]) < 0)
+        self._remember((h[late], np.append(0, np.cumsum(size[late])), pool[_ranges(bounds[late], size[late])]))
         many = size[inverse]
         per = np.bincount(row, many, n).astype(np.int64)
         out = np.full(per.sum() + n, self.end, "<u4")
@@ -137,15 +138,35 @@ class Encoder:
             parts.append(part)
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
-    def _remember(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        """Adds pieces (hashes in order); a full generation becomes the old one."""
-        if len(self.young[0]) + len(h) > MEMORY:
-            self.old, self.young = self.young, (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"))
-        y = self.young
-        order = np.argsort(np.concatenate([y[0], h]), kind="stable")
-        sizes = np.concatenate([np.diff(y[1]), size])
-        starts = np.concatenate([y[1][:-1], len(y[2]) + np.cumsum(size) - size])
-        self.young = np.concatenate([y[0], h])[order], np.append(0, np.cumsum(sizes[order])), np.concatenate([y[2], ids])[_ranges(starts[order], sizes[order])]
+    def _remember(self, more: tuple[np.ndarray, ...]) -> None:
+        """Adds pieces to the new ones; those are merged into the young ones when they are
+        many, and the young ones become the old ones when they are full."""
+        new, young, old = self.memory
+        new = _merged(new, more)
+        if len(new[0]) > MEMORY // 12:
+            new, young = NOTHING, _merged(young, new)
+            if len(young[0]) > MEMORY:
+                young, old = NOTHING, young
+        self.memory = [new, young, old]
+
+
+NOTHING = (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """This process's encoder: what it remembers serves all tasks of a worker."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two sorted tables of (hashes, bounds, ids) as one."""
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    sizes = np.concatenate([np.diff(a[1]), np.diff(b[1])])
+    starts = np.concatenate([a[1][:-1], len(a[2]) + b[1][:-1]])
+    return np.concatenate([a[0], b[0]])[order], np.append(0, np.cumsum(sizes[order])), np.concatenate([a[2], b[2]])[_ranges(starts[order], sizes[order])]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -244,11 +265,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     """Encode ``docs(doc_id, text)`` and write segments to ``path`` in ascending doc_id
     order (null first; rows with equal doc_id by text). Null texts count as empty and have
     the end id alone. Other columns are not read. An empty table gives no segments."""
-    made: list[Encoder] = []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(tokenizer, end_id))
+        coder = encoder(tokenizer, end_id)
         part = TaskContext.get().partitionId()
         keys: list[int] = []
         copies: list[int] = []
@@ -265,7 +284,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
         for batch in batches:
             for rows, data, offs in slices(batch):
-                ids, many = made[0].ids(data, offs)
+                ids, many = coder.ids(data, offs)
                 ids, cut = memoryview(ids.tobytes()), np.append(0, np.cumsum(many) * 4).tolist()
                 for key, a, b in zip(rows.column(0).to_pylist(), cut[:-1], cut[1:], strict=True):
                     blob = ids[a:b]
