@@ -59,14 +59,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+        self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.options(**options).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """``df`` as a table; all others of this operator are dropped."""
+        out = self.table(df, name, **options)
+        self.drop(*(self.names - {name}))
+        return out
+
     def drop(self, *names: str) -> None:
         for name in names:
+            self.names.discard(name)
             _drop(self.spark, f"{self.root}/{name}")
 
 

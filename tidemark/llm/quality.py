@@ -194,4 +194,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = net.scores(x.astype(np.float64)) if net else np.full(batch.num_rows, 0.5)
                 yield pa.record_batch([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    return table.mapInArrow(score, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = table.mapInArrow(score, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scratch.last(scored, "scores")
