@@ -71,7 +71,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 class Mix:
-    """The mix of ``docs(doc_id, source, text)``; tables are lazy."""
+    """The mix of ``docs(doc_id, source, text)``; tables are lazy.
+
+    Blocks and slots meet by a merge join: both grow with the documents, but a plan of few
+    sources, exploded, looks small enough to broadcast."""
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK):
         spark = docs.sparkSession
@@ -120,12 +123,12 @@ class Mix:
 
     def output(self) -> DataFrame:
         """(shard, slot, doc_id, from_word, n_words): the mixed corpus, blocks joined by index."""
-        return self.slots().join(self.pieces(), ["source_key", "block"]).select("shard", "slot", "doc_id", "tie", "from_word", "n_words")
+        return self.slots().hint("merge").join(self.pieces(), ["source_key", "block"]).select("shard", "slot", "doc_id", "tie", "from_word", "n_words")
 
     def drawn_pieces(self) -> DataFrame:
         """Pieces with ``times``, the number of slots that their block fills."""
         times = self.slots().groupBy("source_key", "block").agg(F.count("*").alias("times"))
-        return self.pieces().join(times, ["source_key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        return self.pieces().join(times.hint("merge"), ["source_key", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) of every row of the documents.
@@ -149,7 +152,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     drawn = mix.drawn_pieces().where("times > 0").select("doc_id", "tie", "source_key", "start", "size", "from_word", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("turn"))
     drawn = drawn.groupBy("doc_id", "tie", "source_key", "start", "size", "turn").agg(F.sum("n_words").alias("n"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("cuts"))
     own = docs.withColumn("tie", F.xxhash64(*[F.col(c) for c in sorted(docs.columns)])).dropDuplicates(["doc_id", "tie"])
-    rows = own.alias("d").join(drawn.alias("m"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.col("d.tie") == F.col("m.tie")))
+    rows = own.alias("d").hint("merge").join(drawn.alias("m"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.col("d.tie") == F.col("m.tie")))
     words = F.regexp_extract_all("d.text", F.lit(WORDS), F.lit(0))
     some = F.array_join(F.flatten(F.transform("m.cuts", lambda c: F.slice(words, (c["from_word"] + 1).cast("int"), c["n_words"].cast("int")))), " ")
     text = F.when(F.col("m.n") == F.col("m.size"), F.col("d.text")).otherwise(some)
