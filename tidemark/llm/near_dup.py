@@ -16,6 +16,7 @@ a bucket is compared in full, so no link that the bands bring up is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ ROWS, BANDS = 6, 50
 #: Bits of the odd sketch.
 SKETCH = 1024
 #: Standard errors by which an estimate may fall short of the threshold before the pair is left unconfirmed.
-SLACK = 4.5
-#: A bucket of up to so many nodes gets one pivot, then a comparison of its components in full; larger ones get
-#: further pivots until at most LEFT_OVER pairs between components are left, or MOST_TURNS are over, then the same.
-SMALL, LEFT_OVER, MOST_TURNS = 64, 2_000_000, 6
+SLACK = 4.0
+#: Nodes are compared with pivots, in a sixth of the buckets each turn, until what is left between different components
+#: is at most so many pairs for each node in a bucket, or pivots hardly link any more; that is then compared in full.
+PARTS, PAIRS_A_ROW, MOST_TURNS = 6, 16, 8
 #: Ids of nodes to confirm that are sent to all executors (8 MB) so that texts need not move; more are joined.
 BROADCAST_IDS = 500_000
 
@@ -89,9 +90,11 @@ def reaches(a: str, b: str, percent: int) -> Column:
     """Whether the odd sketches of two nodes and their sizes leave a similarity of
     ``percent`` possible (within ``SLACK`` standard errors)."""
     k, m, t = ROWS * BANDS, SKETCH, percent / 100
-    share = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) / m
+    words = [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH // 64)]
+    share = reduce(Column.__add__, words) / m
     differ = 2 * k * (1 - t)  # expected number of differing (sample, value) pairs at the threshold
-    spread = float(np.hypot(2 * (k * t * (1 - t)) ** 0.5, (m * 0.25) ** 0.5 / np.exp(-2 * differ / m)))
+    parity = (m * (1 - np.exp(-4 * differ / m)) / 4) ** 0.5 / np.exp(-2 * differ / m)
+    spread = float(np.hypot(2 * (k * t * (1 - t)) ** 0.5, parity))
     most = 0.5 * (1 - float(np.exp(-2 * (differ + SLACK * spread) / m)))
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
     return (100 * small >= percent * large) & (share <= most)
@@ -103,7 +106,7 @@ class Checker:
     def __init__(self, text: DataFrame, facts: DataFrame, scratch: Scratch, percent: int):
         self.text, self.facts, self.scratch, self.percent = text, facts, scratch, percent
         self.sets: DataFrame | None = None
-        self.turn = 0
+        self.turn = self.pairs = 0
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the (node, pivot) pairs that sizes and sketches leave possible."""
@@ -112,17 +115,25 @@ class Checker:
         return pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(reaches("a", "b", self.percent)).select("u", "v")
 
     def apart(self, here: DataFrame) -> DataFrame:
-        """(u, v): the possible pairs between different components of a bucket."""
-        here = here.select("bucket", "node", "component").join(self.facts, "node")
-        a, b = here.alias("a"), here.alias("b")
-        on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & reaches("a", "b", self.percent)
-        return a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+        """(u, v): all links between different components of a bucket.
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold."""
+        Sets go only to rows that have any possible partner; the exact test is part of the
+        join, so pairs that are no links are compared but never rows."""
         t = self.turn = self.turn + 1
-        pairs = self.scratch.table(pairs, f"pairs-{t}")
-        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        here = here.select("bucket", "node", "component").join(self.facts, "node")
+        a, b = here.alias("a"), here.alias("b")
+        may = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & reaches("a", "b", self.percent)
+        some = self.scratch.table(a.join(b, may, "left_semi"), f"likely-{t}")
+        self.read_sets(some.select("node").distinct(), t)
+        some = some.join(self.sets, "node")
+        a, b = some.alias("a"), some.alias("b")
+        common = F.size(F.array_intersect("a.items", "b.items")).cast("long")
+        exact = 100 * common >= self.percent * (F.size("a.items") + F.size("b.items") - common)
+        found = a.join(b, may & (F.col("a.node") < F.col("b.node")) & exact).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+        return self.scratch.table(found, f"links-{t}")
+
+    def read_sets(self, need: DataFrame, t: int) -> None:
+        """Adds the shingle sets of nodes that ``sets`` lacks."""
         if self.sets is not None:
             need = need.join(self.sets.select("node"), "node", "left_anti")
         seen = Observation()
@@ -131,6 +142,14 @@ class Checker:
         found = self.text.join(need, "doc_id", "left_semi").mapInArrow(each(shingle_sets), "node long, items array<long>")
         found = self.scratch.table(found, f"sets-{t}", compression="zstd")
         self.sets = found if self.sets is None else self.sets.union(found)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets reach the threshold."""
+        t = self.turn = self.turn + 1
+        seen = Observation()
+        pairs = self.scratch.table(pairs.observe(seen, F.count(F.lit(1)).alias("n")), f"pairs-{t}")
+        self.pairs = seen.get["n"]
+        self.read_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), t)
         both = pairs.join(self.sets.toDF("u", "items_u"), "u").join(self.sets.toDF("v", "items_v"), "v")
         both = both.select("u", "v", F.size(F.array_intersect("items_u", "items_v")).cast("long").alias("i"), (F.size("items_u") + F.size("items_v")).cast("long").alias("s"))
         return self.scratch.table(both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).select("u", "v"), f"links-{t}")
@@ -184,24 +203,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     checked = Checker(text, facts, scratch, percent)
 
     labels = checked.merge(checked.links(checked.likely(bands.select("node", "pivot"))), None)
+    here, few = bands.select("bucket", "node"), False
     for turn in range(1, MOST_TURNS + 1):
-        here = bands.where(f"n > {SMALL}") if turn > 1 else bands
-        here = here.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("p")).where("low < high")
-        here = here.join(mixed.select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "bucket")
-        here = scratch.table(here, f"mixed-{turn}")
-        large = here.where(f"n > {SMALL}")
-        same = large.groupBy("bucket", "n", "component").agg(F.count("*").alias("m")).groupBy("bucket", "n").agg(F.sum(F.col("m") * F.col("m")).alias("same"))
-        left = same.agg(F.sum(F.expr("(n * n - same) / 2"))).first()[0] or 0
-        last = left <= LEFT_OVER or turn == MOST_TURNS
-        whole = here if last else here.where(f"n <= {SMALL}")
-        pairs = checked.apart(whole) if last or turn == 1 else None
-        if not last:
-            star = checked.likely(large.where("component <> of").select("node", "pivot"))
-            pairs = star if pairs is None else pairs.union(star)
-        labels = checked.merge(checked.links(pairs), labels)
-        if last:
+        here = here.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        by_hash = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node", "component")).alias("p")
+        mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), by_hash).where("low < high")
+        here = scratch.table(here.join(mixed.select("bucket", "n", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "bucket"), f"mixed-{turn}")
+        same = here.groupBy("bucket", "n", "component").agg(F.count("*").alias("m")).groupBy("bucket", "n").agg(F.sum(F.col("m") * F.col("m")).alias("same"))
+        rows, left = same.agg(F.sum("n"), F.sum(F.expr("(n * n - same) / 2"))).first()
+        if not rows:
+            break
+        if left <= PAIRS_A_ROW * rows or turn == MOST_TURNS or few:
+            labels = checked.merge(checked.apart(here), labels)
             break
+        some = here.where((F.pmod(F.xxhash64("bucket"), F.lit(PARTS)) == turn % PARTS) & (F.col("component") != F.col("of")))
+        links = checked.links(checked.likely(some.select("node", "pivot")))
+        few = links.count() * 20 < checked.pairs
+        labels = checked.merge(links, labels)
+        here = here.select("bucket", "node")
 
     member = sig.select("doc_id", "n_shingles", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(labels, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
