@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, SPACE, lower_ascii, prefix_hash, range_hash, slices, utf8_text, word_bounds
 
-#: Bound on the trusted positives and on the unlabelled documents that the fit sees.
+#: Expected number, at most, of the trusted positives and of the unlabelled documents that the fit sees.
 SAMPLE = 12_000
 FOLDS = 5
 THRESHOLD = 0.3
@@ -118,7 +118,7 @@ class Network:
         theta = [self.w1, self.b1, self.w2, np.zeros(1)]
         m, v, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
         rounds = max(1, min(len(pos), len(unl)) // batch)
-        for _ in range(epochs):
+        for _ in range(max(epochs, 400 // rounds)):  # small samples need as many steps
             ps, us = np.array_split(rng.permutation(len(pos)), rounds), np.array_split(rng.permutation(len(unl)), rounds)
             for p, u in zip(ps, us, strict=True):
                 x = np.concatenate([pos[p], unl[u]])
@@ -164,6 +164,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def drawn(n: int) -> Column:
+    """Whether a doc_id is in a sample of about ``SAMPLE`` of ``n``, by its hash. A
+    threshold, not an ordering: no task sends more than its share to the driver."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``.
 
@@ -176,12 +182,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "quality")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8_text())
     table = scratch.table(text.mapInArrow(describe, "doc_id long, features array<float>"), "features", compression="zstd")
-    spread = F.xxhash64("doc_id", F.lit(1))
     train = ~held_out(F.col("doc_id"))
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
-    chosen = good.orderBy(spread, "doc_id").limit(SAMPLE).select("doc_id")  # SAMPLE ids: a proven bound for the broadcast
-    pos = table.join(F.broadcast(chosen), "doc_id").orderBy(spread, "doc_id").limit(SAMPLE).toPandas()
-    unl = table.where(train & F.col("doc_id").isNotNull()).orderBy(spread, "doc_id").limit(SAMPLE).toPandas()
+    good = scratch.table(good.select("doc_id"), "good")
+    chosen = F.broadcast(good.where(drawn(good.count())))  # about SAMPLE ids, however many there are
+    some = lambda df: df.groupBy("doc_id").agg(F.min("features").alias("features")).toPandas().sort_values("doc_id")
+    pos = some(table.join(chosen, "doc_id"))
+    unl = some(table.where(train & F.col("doc_id").isNotNull() & drawn(table.count())))
     net = None
     if len(pos) and len(unl):
         p, u = np.stack(pos["features"].to_numpy()).astype(np.float64), np.stack(unl["features"].to_numpy()).astype(np.float64)
