@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, RegimeConfig, SignalConfig
-from ..functions import holds
+from ..functions import by_ticker, holds
 from ..schemas import EQUITY, TRADES
 from .ranking import calendar
 
@@ -100,16 +100,23 @@ class Portfolio:
 def days_of(signals: DataFrame, rankings: DataFrame, regime: DataFrame, rules: RegimeConfig = RegimeConfig()) -> DataFrame:
     """One row per date: next date, whether entries are allowed, bars, candidates.
 
-    Only tickers that are ever ranked matter to the fold; the others' bars are left out."""
+    A candidate's next bar is the ticker's next row, if that is on the next date of the
+    common calendar. Only tickers that are ever ranked matter to the fold; the others' bars
+    are left out. One join brings the ranks, one window by ticker the rest, and one
+    aggregate makes both arrays."""
     days = calendar(signals)
-    traded = rankings.select("ticker").distinct()
-    bars = signals.join(traded, "ticker", "left_semi").groupBy("date").agg(F.collect_list(F.struct("ticker", "close", "low", holds(F.col("sell_signal")).alias("sell"), "exit_reason")).alias("bars"))
-    ahead = signals.select("ticker", F.col("date").alias("next_date"), "open")
-    today = signals.select("ticker", "date", "atr", F.lit(True).alias("has_bar"))
-    picks = rankings.select("date", "rank", "ticker").join(days.select("date", "next_date"), "date").join(ahead, ["ticker", "next_date"], "left").join(today, ["ticker", "date"], "left")
-    picks = picks.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", "atr", "has_bar", "open"))).alias("picks"))
+    df = signals.select("ticker", "date", "open", "low", "close", "atr", holds(F.col("sell_signal")).alias("sell"), "exit_reason")
+    df = df.join(rankings.select("date", "ticker", "rank"), ["date", "ticker"], "left")
+    w = by_ticker()
+    df = df.withColumns({"bar_after": F.lead("date", 1).over(w), "open_after": F.lead("open", 1).over(w), "traded": F.count("rank").over(Window.partitionBy("ticker")) > 0})
+    df = df.where("traded").join(days.select("date", "next_date"), "date")
+    after = F.when(F.col("bar_after") == F.col("next_date"), F.col("open_after"))
+    arrays = df.groupBy("date").agg(
+        F.collect_list(F.struct("ticker", "close", "low", "sell", "exit_reason")).alias("bars"),
+        F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "ticker", "atr", F.lit(True).alias("has_bar"), after.alias("open"))))).alias("picks"),
+    )
     ok = regime.select("date", holds(F.col("regime").isin(*rules.allowed)).alias("allowed"))
-    return days.join(ok, "date", "left").join(bars, "date", "left").join(picks, "date", "left").withColumn("allowed", holds(F.col("allowed")))
+    return days.join(ok, "date", "left").join(arrays, "date", "left").withColumn("allowed", holds(F.col("allowed")))
 
 
 def _fold(pdf: pd.DataFrame, rules: BacktestConfig, signals: SignalConfig) -> Portfolio:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BacktestConfig, SignalConfig
-from ..functions import business_days, holds
+from ..functions import business_days, by_ticker, holds
 from .ranking import calendar
 
 
@@ -23,15 +23,15 @@ def uncoupled_trades(signals: DataFrame, signal_cfg: SignalConfig = SignalConfig
     dates that a trade can meet, so trades meet their dates by equality on the calendar's
     index, not by a range."""
     days = calendar(signals)
-    bars = signals.select("ticker", "date", "open", "low", "close", "sell_signal", "exit_reason")
-    entries = signals.where("buy_signal").select("ticker", F.col("date").alias("signal_date"), "atr").join(days.select(F.col("date").alias("signal_date"), "date_idx", F.col("next_date").alias("entry_date")), "signal_date")
-    opens = bars.select("ticker", F.col("date").alias("entry_date"), F.col("open").alias("entry_open"))
-    entries = entries.join(opens, ["ticker", "entry_date"]).where("entry_open > 0")
+    bars = signals.select("ticker", "date", "low", "close", "sell_signal", "exit_reason")
+    w = by_ticker()
+    entries = signals.select("ticker", F.col("date").alias("signal_date"), "buy_signal", "atr", F.lead("date", 1).over(w).alias("entry_date"), F.lead("open", 1).over(w).alias("entry_open")).where("buy_signal and entry_open > 0")
+    entries = entries.join(days.select(F.col("date").alias("signal_date"), "date_idx", F.col("next_date").alias("entry_date")), ["signal_date", "entry_date"])
     price = F.col("entry_open") * (1 + costs.buy_cost + costs.slippage)
     entries = entries.withColumn("entry_price", price).withColumn("stop_loss", F.col("entry_price") - signal_cfg.atr_stop_multiplier * F.col("atr"))
     reach = ceil(signal_cfg.max_hold_days / 5) * 7 + 2  # dates until the limit is surely reached
     met = entries.withColumn("date_idx", F.explode(F.sequence(F.col("date_idx") + 1, F.col("date_idx") + 1 + reach)))
-    met = met.join(days.select("date_idx", "date"), "date_idx").join(bars.drop("open"), ["ticker", "date"], "left")
+    met = met.join(days.select("date_idx", "date"), "date_idx").join(bars, ["ticker", "date"], "left")
     held = business_days(F.col("entry_date"), F.col("date"))
     why = (
         F.when(holds(F.col("low") <= F.col("stop_loss")), "atr_stop")
