@@ -53,7 +53,7 @@ PATTERNS = {
 }
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this cheap pattern hold no entity.
-GATE = rf"@|[0-9][0-9 .()-]{{3,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{_titles})"
+GATE = rf"(?=[@0-9A-ZГг])(?:@|[0-9][0-9 .()-]{{3,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{_titles})\.? \p{{Lu}})"
 ROUNDS = 20
 
 
@@ -133,9 +133,13 @@ def _name(m: Column, h: Column) -> Column:
     return F.when(loud, F.concat(title, F.upper(F.substring(out, F.length(title) + 1, F.length(out))))).otherwise(out)
 
 
-def surrogate(kind: Column, norm: Column, mention: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity in the format of ``mention``."""
-    h = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string"), F.lit(key)), 256)
+def keyed(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """What an entity's surrogate is made from."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string"), F.lit(key)), 256)
+
+
+def surrogate(kind: Column, norm: Column, mention: Column, h: Column) -> Column:
+    """The surrogate of an entity, in the format of ``mention``, from its ``keyed`` hash."""
     d = _digits(h)
     octets = F.concat_ws(".", *[(F.pmod(_number(h, at), F.lit(223 if at == 1 else 254)) + 1).cast("string") for at in (1, 9, 17, 25)])
     local, host = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
@@ -174,7 +178,9 @@ def later_attempts(found: DataFrame, key: str, scratch: Scratch) -> DataFrame |
     """(kind, norm, attempt) of the entities whose first surrogates fail the check."""
     state = scratch.table(found.withColumn("attempt", F.lit(0)), "attempts-0")
     for i in range(1, ROUNDS):
-        made = state.withColumn("made", normal(F.col("kind"), surrogate(F.col("kind"), F.col("norm"), F.col("mention"), F.col("attempt"), key)))
+        made = state.withColumn("h", keyed(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        made = made.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("mention"), F.col("h")))
+        made = scratch.table(made.withColumn("made", normal(F.col("kind"), F.col("made"))).drop("h"), f"made-{i}")
         groups = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first"))
         real = groups.join(found.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_semi").select("kind", "made", F.lit(True).alias("real"))
         bad = groups.join(real, ["kind", "made"], "left").where("n > 1 or real").select("kind", "made", F.coalesce("real", F.lit(False)).alias("real"), F.col("first.norm").alias("first"))
@@ -212,7 +218,9 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         maps = held.join(later, ["kind", "norm"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(of, "attempt"))).alias("attempts"))
         d = d.withColumn("h", F.xxhash64("text")).join(maps, "h", "left")
         attempt = lambda x: F.coalesce(F.try_element_at("attempts", F.concat_ws("\u0001", x["kind"], x["norm"])), F.lit(0))
-    made = F.transform("marked", lambda x: surrogate(x["kind"], x["norm"], x["m"], attempt(x), key))
+    hashed = F.transform("marked", lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm"), x["m"].alias("m"), keyed(x["kind"], x["norm"], attempt(x), key).alias("h")))
+    d = d.select("doc_id", "text", "between", hashed.alias("marked"))
+    made = F.transform("marked", lambda x: surrogate(x["kind"], x["norm"], x["m"], x["h"]))
     d = d.select("doc_id", "text", "between", "marked", made.alias("made"))
     rewritten = F.array_join(F.flatten(F.zip_with("between", "made", lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
     some = F.size("marked") > 0
