@@ -12,6 +12,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,23 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows and bytes of a record batch while an operator writes a table.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python in small batches, so that neither side holds many at a time."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder.
 
@@ -64,7 +82,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.options(**options).mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.options(**options).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def last(self, df: DataFrame, name: str, **options: str) -> DataFrame:

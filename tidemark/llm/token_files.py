@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, lower_ascii, mix, prefix_hash, range_hash, slices, utf8_text
+from .common import BASE, U, lower_ascii, mix, prefix_hash, range_hash, slices, small_batches, utf8_text
 
 #: Ids of a segment, from which the next one begins (1 MB); a longer document has one alone.
 SEGMENT_IDS = 250_000
@@ -304,7 +304,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8_text())
     ordered = text.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(pack, SEGMENTS).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(pack, SEGMENTS).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
