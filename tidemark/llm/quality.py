@@ -108,7 +108,7 @@ class Network:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(x)[1], -30, 30)))
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None, epochs: int = 30, batch: int = 512, rate: float = 3e-3) -> Network:
+    def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None, epochs: int = 30, batch: int = 512, rate: float = 3e-3, least_steps: int = 0) -> Network:
         rng = np.random.default_rng(self.seed)
         both = np.concatenate([pos, unl])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-2
@@ -118,7 +118,7 @@ class Network:
         theta = [self.w1, self.b1, self.w2, np.zeros(1)]
         m, v, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
         rounds = max(1, min(len(pos), len(unl)) // batch)
-        for _ in range(max(epochs, 400 // rounds)):  # small samples need as many steps
+        for _ in range(max(epochs, least_steps // rounds)):
             ps, us = np.array_split(rng.permutation(len(pos)), rounds), np.array_split(rng.permutation(len(unl)), rounds)
             for p, u in zip(ps, us, strict=True):
                 x = np.concatenate([pos[p], unl[u]])
@@ -157,7 +157,8 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     qp, qu = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
     slack = np.sqrt(np.log(40) / 2 / len(u)) + np.sqrt(np.log(40) / 2 / len(p))
     best = np.argmin((qu + slack) / qp)
-    return float(np.clip(qu[best] / qp[best], 0.02, 0.98))
+    few = max(0.0, slack - 0.2)  # from tens of rows rather too high a share, so that good documents stay
+    return float(np.clip(qu[best] / qp[best] + few, 0.02, 0.98))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,13 +193,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = None
     if len(pos) and len(unl):
         p, u = np.stack(pos["features"].to_numpy()).astype(np.float64), np.stack(unl["features"].to_numpy()).astype(np.float64)
-        net = Network().fit(p, u, class_prior(p, u) if min(len(p), len(u)) >= 40 else 0.5)
+        net = Network().fit(p, u, class_prior(p, u) if min(len(p), len(u)) >= 40 else 0.5, least_steps=150)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, FEATURES)
-                s = net.scores(x.astype(np.float64)) if net else np.full(batch.num_rows, 0.5)
+                s = np.round(net.scores(x.astype(np.float64)), 7) if net else np.full(batch.num_rows, 0.5)
                 yield pa.record_batch([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
     scored = table.mapInArrow(score, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
