@@ -1,6 +1,7 @@
 """Bar operators against independent pandas versions, edge cases and invariants."""
 
 import datetime as dt
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -213,6 +214,44 @@ def test_walk_forward(spark, bars):
     assert {r.grid_pos for r in walk_forward.best(user).collect()} == {2}
 
 
+def test_walk_forward_queries_match_a_loop(spark, monkeypatch):
+    """The registered queries over all windows and points of the defaults."""
+    from tidemark.plans import queries
+
+    pdf, cfg = panel(400), Config().walk_forward
+    df = spark.createDataFrame(pdf).cache()
+    monkeypatch.setattr(queries, "bars", lambda spark, d: df)
+    run = lambda name: queries.QUERIES[name](spark, "").collect()
+    assert sorted(r.train_start for r in run("wfo_windows")) == [0, 63]
+    z = indicators.with_rsi(df.withColumn("zscore", indicators.zscore(F.col("close"))), 2).toPandas()
+    z["i"] = (pd.to_datetime(z["date"]) - pd.Timestamp(DAY)).dt.days
+    price, points = z.set_index(["ticker", "i"])["close"].to_dict(), list(product(*cfg.grid.values()))
+
+    def rets(point, s, e):
+        rsi, zs, hold, _ = point
+        got = {i: [] for i in range(s, e)}
+        hit = z[(z["rsi_2"] < rsi) & (z["zscore"] < zs) & (z["i"] >= s) & (z["i"] + hold < e)].sort_values("ticker")
+        for i, g in hit.groupby("i"):
+            r = np.mean([price[t, i + hold] / price[t, i] - 1 for t in g["ticker"][:5]])
+            for j in range(i, i + hold):
+                got[j].append(r / hold)
+        return [(np.mean(x) if x else 0) - 0.0003 for x in got.values()]
+
+    def score(point, s, e):
+        x = rets(point, s, e)
+        return np.mean(x) / np.std(x, ddof=1) * 252**0.5 if np.std(x, ddof=1) > 1e-12 else 0.0
+
+    want = {(w, g): score(p, 63 * w, 63 * w + 252) for w in (0, 1) for g, p in enumerate(points)}
+    got = {(r.window_id, r.grid_pos): r.sharpe for r in run("wfo_insample")}
+    assert len(got) == 2 * 192 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+    top = {w: min(range(192), key=lambda g: (-round(want[w, g], 9), g)) for w in (0, 1)}
+    assert {r.window_id: r.grid_pos for r in run("wfo_best")} == top
+    oos = {(w, 63 * w + 252 + k): r for w in (0, 1) for k, r in enumerate(rets(points[top[w]], 63 * w + 252, 63 * w + 315))}
+    got = {(r.window_id, r.date_idx): r.ret for r in run("wfo_oos")}
+    assert got.keys() == oos.keys() and all(abs(got[k] - oos[k]) < 1e-5 for k in oos)
+    assert run("wfo_summary")[0].windows == 2
+
+
 def test_uncoupled_trades_match_a_loop(study):
     s, _, _ = study
     pdf = s.toPandas().sort_values("date")

@@ -19,7 +19,7 @@ from ..streaming import bars as tick_bars
 from . import research
 
 CFG = Config()
-#: A small grid and short spans for the walk-forward queries.
+#: A small grid and short spans, for the walk-forward SQL only; the queries run with CFG.walk_forward.
 WALK = WalkForwardConfig(in_sample=252, out_of_sample=63, step=252, grid={"rsi_buy_threshold": (10, 30), "zscore_buy_threshold": (-1.0, 0.0), "max_holding_days": (5, 10)})
 #: See ``rounded``.
 NUDGE = 1.3e-7
@@ -471,7 +471,7 @@ def portfolio_metrics(spark, d):  # noqa: ANN001, ANN201
 
 def _walk(spark, d):  # noqa: ANN001, ANN202
     df = indicators.with_rsi(bars(spark, d).withColumn("zscore", indicators.zscore(F.col("close"))), 2).withColumnRenamed("rsi_2", "rsi")
-    return df, walk_forward.grid(spark, WALK.grid), walk_forward.windows(ranking.calendar(df), WALK)
+    return df, walk_forward.grid(spark, CFG.walk_forward.grid), walk_forward.windows(ranking.calendar(df), CFG.walk_forward)
 
 
 @query
