@@ -252,6 +252,17 @@ def test_walk_forward_queries_match_a_loop(spark, monkeypatch):
     assert run("wfo_summary")[0].windows == 2
 
 
+def test_pivot_query_holds_all_tickers(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    pdf = panel(3, ("Brand#11", "Brand#2", "Brand#55"))
+    monkeypatch.setattr(queries, "bars", lambda spark, d: spark.createDataFrame(pdf))
+    got = queries.QUERIES["pivot_close"](spark, "")
+    assert set(got.columns) == {"date", *pdf["ticker"]} and got.count() == 3
+    cells = {(t, r["date"]): r[t] for r in got.collect() for t in got.columns[1:]}
+    assert all(abs(cells[r.ticker, r.date] - r.close) < 1e-3 for r in pdf.itertuples())
+
+
 def test_uncoupled_trades_match_a_loop(study):
     s, _, _ = study
     pdf = s.toPandas().sort_values("date")

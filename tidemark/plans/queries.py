@@ -250,7 +250,7 @@ def minmax(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def pivot_close(spark, d):  # noqa: ANN001, ANN201
-    return rounded(features.pivoted(bars(spark, d), "close", [f"Brand#{i}" for i in range(1, 6)]))
+    return rounded(features.pivoted(bars(spark, d)))
 
 
 # ----------------------------------------------------------------------------- regime
