@@ -247,6 +247,19 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(spark, out).count() == 0
 
 
+def test_encoder_composes_before_lower_case():
+    """Capitals whose only composed form is a small letter, alone, in words and after their small forms."""
+    from tokenizers import Tokenizer
+
+    tk, coder = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path(), 2)
+    pairs = ["H\u0331", "J\u030c", "T\u0308", "T\u0344", "W\u030a", "Y\u030a"]
+    texts = [t for p in pairs for t in (p.lower(), p, f"aB{p}Cd,{p} X", f"{p}'S")] + ["TÉ té ÀB", "PLAIN Text"]
+    data = [t.encode() for t in texts]
+    ids, many = coder.ids(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data])))
+    want = [[*e.ids, 2] for e in tk.encode_batch(texts, add_special_tokens=False)]
+    assert many.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 3000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).integers(-(2**62), 2**62, n)

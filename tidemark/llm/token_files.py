@@ -55,8 +55,10 @@ class Encoder:
     and runs of other signs, and no normalisation reaches over a border between two ASCII
     characters of different kinds. So a text's ids are those of its pieces, cut at white
     space and at such borders (apostrophes and all beyond ASCII are left joined to their
-    neighbours). Pieces of ASCII letters go to the tokenizer's model directly, all others
-    through the whole tokenizer. Texts that hold a special token's opening are encoded
+    neighbours). The tokenizer composes characters (NFC) before it lower-cases and the two do
+    not commute, so only pieces that are all ASCII are lower-cased here; others keep their
+    bytes. Pieces of ASCII letters go to the tokenizer's model directly, all others through
+    the whole tokenizer. Texts that hold a special token's opening are encoded
     as a whole. Pieces are remembered by a 64-bit hash, in generations."""
 
     def __init__(self, path: str, end_id: int):
@@ -98,6 +100,10 @@ class Encoder:
         blank = np.append(np.flatnonzero(stop), len(kind))
         e = np.minimum(np.append(s[1:], len(kind)), blank[np.searchsorted(blank, s)]) if len(s) else s
         e = np.minimum(e, offs[row + 1])
+        beyond = np.append(0, np.cumsum(data >= 128))
+        mixed = np.flatnonzero(beyond[e] > beyond[s])
+        at = _ranges(s[mixed], e[mixed] - s[mixed])
+        low[at] = data[at]
         h, first, inverse = np.unique(range_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
         places = [self._find(m, h) for m in self.memory]
         size = np.zeros(len(h), np.int64)
