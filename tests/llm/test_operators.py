@@ -324,6 +324,20 @@ def test_surrogates(spark):
     assert pii.replace_pii(df, "other").collect()[0].text != got[0].text
 
 
+def test_surrogate_forms(spark):
+    """Phone groupings of many countries; initials, apostrophes, hyphens, several words and titles."""
+    phones = ["+44 20 7946 0958", "+49 30 12345678", "+33 1 23 45 67 89", "+7 912 345-67-89", "5551234567", "+442079460958"]
+    names = ["Mr. J. Smith", "Mrs O'Brien", "Dr. Smith", "Mr John Paul Smith", "Frau Meyer-Schulz", "Herr Dr. Kurt von Stein", "д-р Иванов"]
+    texts = [f"see {x}, then" for x in phones + names] + ["Mr Smith's 0.5551234567 and 1712345678"]
+    got = [r.asDict() for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), DOCS), "key").orderBy("doc_id").collect()]
+    for x, r in zip(phones + names, got, strict=False):
+        kind = "phone" if x in phones else "name"
+        assert r["spans"] == f"{kind}:4:{4 + len(x)}" and r["text"].startswith("see ") and r["text"].endswith(", then") and r["text"] != f"see {x}, then"
+    assert re.sub(r"\D", "", got[0]["text"]) == re.sub(r"\D", "", got[5]["text"]) and "+44 " in got[0]["text"]
+    assert [len(r["text"].split()) for r in got[6:13]] == [len(x.split()) + 2 for x in names[:5]] + [len(names[5].split()) + 2, 4]
+    assert got[13]["spans"] == "name:0:8" and got[13]["text"].endswith("'s 0.5551234567 and 1712345678")
+
+
 def test_surrogate_collisions(spark, monkeypatch):
     """Few possible surrogates: later attempts keep entities apart and away from real ones."""
     monkeypatch.setattr(pii, "_digits", lambda h: F.lpad(F.pmod(pii._number(h, 1), F.lit(40)).cast("string"), 64, "0"))

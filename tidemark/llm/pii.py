@@ -3,8 +3,8 @@
 Entities found in a text are replaced by keyed surrogates of the same kind and format: a
 card keeps its issuer digit, grouping and a valid check digit, a phone number its country
 code and punctuation, an address in e-mail its pattern of letters and digits, an account
-number its country, a title with a name its title (and so the gender), number of words,
-case and script. An entity's surrogate depends on the secret key, its kind and its
+number its country, a title with a name its title (and so the gender), number of words
+(up to four), case and script. An entity's surrogate depends on the secret key, its kind and its
 normalised value alone, so all mentions of it, in whatever punctuation, get the same one.
 
 Surrogates are checked over the whole corpus before any text is rewritten: two entities
@@ -27,11 +27,15 @@ TITLES = {
     ("m", "latin"): ("Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur"),
     ("f", "cyrillic"): ("г-жа", "Госпожа", "госпожа"),
     ("m", "cyrillic"): ("г-н", "Господин", "господин"),
+    ("n", "latin"): ("Dr", "Doctor", "Doktor", "Professor", "Prof", "Rev"),
+    ("n", "cyrillic"): ("д-р", "Доктор", "доктор", "Профессор", "профессор"),
 }
 GIVEN = {
     ("f", "latin"): ("Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Helga", "Irma", "Julia", "Karla", "Lena", "Marta", "Nora", "Olga", "Paula"),
     ("m", "latin"): ("Albert", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Kurt", "Leo", "Martin", "Oskar", "Paul", "Robert"),
     ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Лидия"),
+    ("n", "latin"): ("Alexis", "Andrea", "Chris", "Dominique", "Jamie", "Kim", "Maxime", "Robin"),
+    ("n", "cyrillic"): ("Саша", "Женя", "Валя", "Слава"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь"),
 }
 SYLLABLES = {
@@ -40,6 +44,11 @@ SYLLABLES = {
 }
 
 _titles = "|".join(t for ts in TITLES.values() for t in ts)
+#: One title or several ("Herr Dr.").
+TITLE = rf"(?:{_titles})(?!\p{{L}})\.?(?: (?:{_titles})(?!\p{{L}})\.?)*"
+_small = "(?:(?:van|von|vom|zu|zum|zur|der|den|ter|ten|de|del|della|di|da|dos|du|la|le|bin|ibn|al) )*"
+_word = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{L}+|['’](?!S(?!\p{L}))\p{Lu}\p{L}*)*"
+_part = rf"(?:\p{{Lu}}\.(?= ?\p{{Lu}})|{_small}{_word})"
 _octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Kinds in order of precedence at the same place.
 PATTERNS = {
@@ -48,12 +57,15 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_titles})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    # three, three and four digits with or without a country code; any grouping after +; ten digits
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}|(?<![.,])[2-9][0-9]{9})(?![0-9A-Za-z])",
+    "name": rf"(?<!\p{{L}}){TITLE} {_part}(?:(?: |(?<=\.)){_part}){{0,3}}",
 }
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this cheap pattern hold no entity.
-GATE = rf"(?=[@0-9A-ZГг])(?:@|[0-9][0-9 .()-]{{3,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{_titles})\.? \p{{Lu}})"
+GATE = rf"(?=[@0-9A-ZГгДдПп])(?:@|[0-9][0-9 .()-]{{3,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{_titles})\.? \p{{L}})"
+#: Country codes (a number's own, whether a separator follows or not).
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 ROUNDS = 20
 
 
@@ -120,15 +132,17 @@ def _luhn(body: Column) -> Column:
 
 def _name(m: Column, h: Column) -> Column:
     out = F.lit(None).cast("string")
-    title = F.regexp_extract(m, rf"^(?:{_titles})\.?", 0)
+    title = F.regexp_extract(m, f"^{TITLE}", 0)
+    rest = F.substring(m, F.length(title) + 1, F.length(m))
+    size = F.size(F.split(F.trim(F.regexp_replace(rest, r"\.(?=\p{Lu})", ". ")), " "))
     for (gender, script), titles in TITLES.items():
         part = lambda at: _of(SYLLABLES[script], _number(h, at, 2))  # noqa: B023, E731
         surname = F.initcap(F.concat(*[part(at) for at in (9, 11, 13, 15, 17)]))
         given = F.initcap(F.concat(_of(GIVEN[gender, script], _number(h, 1)), part(19)))
-        words = F.when(F.size(F.split(m, " ")) > 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
-        here = F.regexp_replace(title, r"\.$", "").isin(*titles)
+        middle = [F.initcap(F.concat(_of(GIVEN[gender, script], _number(h, at, 2)), part(at + 2))) for at in (25, 29)]  # noqa: B023
+        words = F.concat_ws(" ", title, F.when(size > 1, given), F.when(size > 2, middle[0]), F.when(size > 3, middle[1]), surname)
+        here = F.regexp_extract(title, rf"^(?:{_titles})(?!\p{{L}})", 0).isin(*titles)
         out = F.when(here, words).otherwise(out)
-    rest = F.substring(m, F.length(title) + 1, F.length(m))
     loud = (F.length(rest) > 3) & (F.upper(rest) == rest)
     return F.when(loud, F.concat(title, F.upper(F.substring(out, F.length(title) + 1, F.length(out))))).otherwise(out)
 
@@ -145,7 +159,7 @@ def surrogate(kind: Column, norm: Column, mention: Column, h: Column) -> Column:
     local, host = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
     labels = F.size(F.split(host, r"\."))
     domain = F.when(labels > 2, F.concat(F.lit("m"), F.substring(h, 1, 8), F.lit(".example.net"))).otherwise(F.concat(F.lit("m"), F.substring(h, 1, 8), F.lit(".example")))
-    head = F.regexp_extract(mention, r"^\+[0-9]{1,3}", 0)
+    head = F.regexp_extract(mention, COUNTRY, 0)
     tail = F.substring(mention, F.length(head) + 1, F.length(mention))
     size = F.length(norm)
     body = F.concat(F.substring(norm, 1, 1), F.substring(d, F.lit(1), size - 2))
