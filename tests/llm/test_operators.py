@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, graph, licenses, mixing, near_dup, pii, quality, secrets, substrings, token_files, topk
+from tidemark.llm import common, contamination, graph, licenses, mixing, near_dup, pii, quality, secrets, substrings, token_files, topk
 from tidemark.llm.common import Scratch
 from tidemark.llm.queries import tokenizer_path
 
@@ -260,6 +260,65 @@ def test_encoder_composes_before_lower_case():
     assert many.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def encoded(coder, texts):
+    data = [t.encode() for t in texts]
+    ids, many = coder.ids(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data])))
+    at = np.append(0, np.cumsum(many)).tolist()
+    return [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def thue_morse(n):
+    """A word and its complement, on which polynomials modulo a power of two agree."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_structured_words(spark, n):
+    from tokenizers import Tokenizer
+
+    tk, coder = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path(), 2)
+    a, b = thue_morse(n)
+    for texts in ([a, b, f"{a} {b}"], [b, a]):
+        assert encoded(coder, texts) == [[*e.ids, 2] for e in tk.encode_batch(texts, add_special_tokens=False)]
+    got = near_dup.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, f"{a} x y z {b}"), (4, f"{b} x y z {a}")], DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_encoder_with_colliding_hashes(monkeypatch, corpus):
+    """Bytes decide between pieces with one hash, in a slice and in what is remembered."""
+    from tokenizers import Tokenizer
+
+    tk, real = Tokenizer.from_file(tokenizer_path()), token_files.string_hash
+    monkeypatch.setattr(token_files, "string_hash", lambda *x: real(*x) & np.uint64(15))
+    coder = token_files.Encoder(tokenizer_path(), 2)
+    texts = [t or "" for _, t in corpus]
+    for part in (texts[:40], texts[40:], texts[:60]):
+        assert encoded(coder, part) == [[*e.ids, 2] for e in tk.encode_batch(part, add_special_tokens=False)]
+
+
+def test_encoder_of_another_tokenizer():
+    """A tokenizer that the fast path does not model encodes whole texts."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Plain text, 12 words  and 's", "", "é日 😀\n\nx", "HELLO hello"]
+    assert encoded(token_files.Encoder(path, 2), texts) == [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_string_hash():
+    rng = random.Random(11)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 63, 64, 65, 130]))) for _ in range(400)]
+    data, offs = np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(x) for x in strings]))
+    h, g = (common.string_hash(data, offs[:-1], offs[1:], seed) for seed in (0, 1))
+    assert len(set(h.tolist())) == len(set(strings)) == len(set(g.tolist())) and not set(h.tolist()) & set(g.tolist())
+    assert len(set(zip(h.tolist(), strings, strict=True))) == len(set(strings))
+    i, j = np.arange(400), np.arange(400)[::-1]
+    n = np.minimum(offs[1:] - offs[:-1], (offs[1:] - offs[:-1])[::-1])
+    want = [strings[x][:k] == strings[y][:k] for x, y, k in zip(i, j, n, strict=True)]
+    assert common.same_strings(data, offs[:-1][i], data, offs[:-1][j], n).tolist() == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 3000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).integers(-(2**62), 2**62, n)
@@ -391,7 +450,9 @@ def brute_cut(docs):
 
 
 @pytest.mark.parametrize("group", [substrings.GROUP, 3])
-def test_repeated_strings(spark, corpus, group):
+def test_repeated_strings(spark, monkeypatch, corpus, group):
+    """``group`` 3: windows dealt one by one, in several blocks, of long texts in pieces."""
+    monkeypatch.setattr(substrings, "HOT", 2)
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefghij é") for _ in range(200)) for _ in range(5)]
     docs = [(5000 + i, "".join(rng.choice([rng.choice(base)[rng.randrange(100) : rng.randrange(100, 200)], "ab " * rng.randrange(40), "x" * rng.randrange(120)]) for _ in range(rng.randrange(5)))) for i in range(150)]
@@ -407,6 +468,54 @@ def test_repeated_strings(spark, corpus, group):
     assert substrings.repeated_strings(df.limit(0)).count() == 0
 
 
+def test_repeated_strings_meet_in_blocks(monkeypatch):
+    """Windows of one key over many blocks, texts in pieces and a short memory give the same bytes."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh") for _ in range(70))
+    docs = [(i, "".join(rng.choice("xyz 12") for _ in range(rng.randrange(60))) + line + "".join(rng.choice("xyz 12") for _ in range(rng.randrange(60)))) for i in rng.sample(range(1000), 120)]
+    import pyarrow as pa
+
+    def slice_of(part):
+        return pa.record_batch([pa.array([i for i, _ in part], pa.int64()), pa.array([t.encode() for _, t in part])], names=["id", "text"])
+
+    monkeypatch.setattr(substrings, "SEEN_CONTEXTS", 7)
+    monkeypatch.setattr(substrings, "SEEN_WINDOWS", 7)
+    want = brute_cut(docs)
+    asked = [r for k in range(3) for b in substrings.ask([slice_of(docs[k::3])]) for r in b.to_pylist()]
+    asked.sort(key=lambda r: (r["anchor"], r["context"], r["id"]))
+    verdicts = defaultdict(list)
+    for b in substrings.judge([pa.RecordBatch.from_pylist(asked)], 16, 2):
+        for r in b.to_pylist():
+            verdicts[r["id"]].append(r)
+    text = dict(docs)
+    dealt = []
+    for k in range(3):
+        rows = [{"id": i, "text": text[i].encode(), "wanted": [{"kind": v["kind"], "context": v["context"]} for v in verdicts[i] if v["kind"]]} for i, _ in docs[k::3]]
+        kinds = pa.list_(pa.struct([("kind", pa.int8()), ("context", pa.int64())]))
+        batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("text", pa.binary()), ("wanted", kinds)]))
+        dealt += [r for b in substrings.contexts([batch]) for r in b.to_pylist()]
+    assert any(r["bytes"][0] >= substrings.CERTAIN for r in dealt) and any(substrings.SINGLE <= r["bytes"][0] < substrings.CERTAIN for r in dealt)
+    dealt.sort(key=lambda r: (r["key"], r["id"]))
+    found = defaultdict(list)
+    for b in substrings.masks([pa.RecordBatch.from_pylist(dealt)], 5):
+        for r in b.to_pylist():
+            found[r["id"]].append({"context": r["context"], "windows": r["windows"]})
+    shape = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("copy", pa.bool_()), ("verdicts", pa.list_(pa.struct([("kind", pa.int8()), ("context", pa.int64())]))), ("masks", pa.list_(pa.struct([("context", pa.int64()), ("windows", pa.int64())])))])
+    rows = [{"id": i, "text": t.encode(), "copy": None, "verdicts": [{"kind": v["kind"], "context": v["context"]} for v in verdicts[i]], "masks": found[i]} for i, t in docs]
+    got = {r["doc_id"]: tuple(r.values())[1:] for b in substrings.remove([pa.RecordBatch.from_pylist(rows, schema=shape)]) for r in b.to_pylist()}
+    assert got == want and sum(x[1] for x in want.values()) >= 119 * 70
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text's runs of windows are all of its windows, also across pieces."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 105, 5000).astype(np.uint8)
+    monkeypatch.setattr(substrings, "PIECE", 700)
+    runs = list(zip(*(np.concatenate(x) for x in zip(*substrings.anchors(data, np.array([0, 5000])), strict=True)), strict=True))
+    assert [w for _, _, f, l, _ in runs for w in range(f, l + 1)] == list(range(5000 - 49))
+    assert all(f <= l < f + substrings.SPAN and l <= at <= f + substrings.SPAN - 1 for _, at, f, l, _ in runs)
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 2, 3000).astype(np.uint8)

@@ -9,6 +9,7 @@ rows Spark puts into a record batch.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,14 @@ _roots: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables, under ``spark.checkpoint.dir``.
 
-    Only when the session names no such folder (tests, local runs) is one made."""
+    Where the session names none, a local master gets a temporary folder (tests); on a
+    cluster that would scatter tables over the executors' own disks and is refused."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         _roots[app] = f"{base.rstrip('/')}/tidemark-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _roots[app])
@@ -155,18 +160,6 @@ def word_bounds(word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 # ----------------------------------------------------------------------------- hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((BASE, _INVERSE)):
-            p = np.full(max(n, CHUNK_BYTES + 1), b, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,64 +172,99 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[j]-h[i] == sum of (byte+1)*BASE**position over i <= position < j."""
-    p, _ = powers(len(data) + 1)
-    h = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * p[:-1], out=h[1:])
+#: Strings up to so many bytes are hashed together, eight bytes a turn; longer ones one by one.
+LONG = 96
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as words (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def string_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes s..e. Every eight bytes go through a non-linear bijection
+    of the state (strings of up to eight bytes and one length never collide); strings over
+    ``LONG`` bytes go through XXH3. Hashes of different seeds are independent."""
+    n = e - s
+    h = mix(n.astype(U) * U(BASE) + U(seed + 1))
+    at, here = lanes(data), np.flatnonzero((n > 0) & (n <= LONG))
+    place, left = s[here], n[here]
+    while len(here):
+        h[here] = mix((h[here] ^ (at[place] & _MASKS[np.minimum(left, 8)])) * U(0xD6E8FEB86659FD93))
+        more = left > 8
+        here, place, left = here[more], place[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[s[i] : e[i]], seed)
     return h
 
 
-def range_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hash of the bytes s..e, the same wherever they stand."""
-    _, inv = powers(len(h))
-    return mix((h[e] - h[s]) * inv[s] + (e - s).astype(U))
+def same_strings(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of ``a`` from s are the n bytes of ``b`` from t, for each n."""
+    same = np.ones(len(n), bool)
+    x, y, here = lanes(a), lanes(b), np.flatnonzero((n > 0) & (n <= LONG))
+    p, q, left = s[here], t[here], n[here]
+    while len(here):
+        mask = _MASKS[np.minimum(left, 8)]
+        equal = (x[p] & mask) == (y[q] & mask)
+        same[here[~equal]] = False
+        more = equal & (left > 8)
+        here, p, q, left = here[more], p[more] + 8, q[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        same[i] = np.array_equal(a[s[i] : s[i] + n[i]], b[t[i] : t[i] + n[i]])
+    return same
 
 
 SHINGLE = 5
 _ROLL = [U(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
 
 
-def shingles(word_hash: np.ndarray, row: np.ndarray, n_rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted by (row, hash), and their rows.
-
-    A row with fewer words than ``size`` has its whole sequence as its only shingle; a
-    row without words has none."""
-    z = np.zeros(0, U), np.zeros(0, np.int64)
-    if not len(word_hash):
-        return z
-    first = np.searchsorted(row, np.arange(n_rows), "left")
-    last = np.searchsorted(row, np.arange(n_rows), "right")
-    counts = last - first
-    n = len(word_hash)
-    if n >= size:
-        v = np.zeros(n - size + 1, U)
-        for k in range(size):
-            v += word_hash[k : n - size + 1 + k] * _ROLL[k % SHINGLE] + U(k)
-        whole = row[: n - size + 1] == row[size - 1 :]
-        out, of = mix(v[whole]), row[: n - size + 1][whole]
-    else:
-        out, of = z
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        extra = np.zeros(len(short), U)
-        for k in range(size - 1):
-            has = counts[short] > k
-            extra[has] += word_hash[first[short[has]] + k] * _ROLL[k % SHINGLE] + U(k)
-        out = np.concatenate([out, mix(extra + counts[short].astype(U) * U(0xA24BAED4963EE407))])
-        of = np.concatenate([of, short])
-    order = np.lexsort((out, of))
-    out, of = out[order], of[order]
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != out[:-1]) | (of[1:] != of[:-1])
-    return out[keep], of[keep].astype(np.int64)
-
-
-def text_shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Word shingles of lower-cased (A-Z) text split at ASCII white space."""
+class Shingles:
+    """Where the word shingles of a slice's rows stand: every run of ``size`` words, or the
+    whole sequence of a row with fewer words; a row without words has none."""
+
+    def __init__(self, row: np.ndarray, n_rows: int, size: int = SHINGLE):
+        self.size, self.n = size, len(row)
+        first = np.searchsorted(row, np.arange(n_rows), "left")
+        self.counts = np.searchsorted(row, np.arange(n_rows), "right") - first
+        self.whole = row[: max(0, self.n - size + 1)] == row[size - 1 :] if self.n >= size else np.zeros(0, bool)
+        self.short = np.flatnonzero((self.counts > 0) & (self.counts < size))
+        self.first = first[self.short]
+        self.row = np.concatenate([row[: len(self.whole)][self.whole], self.short]).astype(np.int64)
+
+    def hashes(self, word_hash: np.ndarray) -> np.ndarray:
+        """The shingles' hashes: a combination of the words' hashes with fixed odd factors, mixed."""
+        v = np.zeros(len(self.whole), U)
+        for k in range(self.size if len(v) else 0):
+            v += word_hash[k : len(v) + k] * _ROLL[k % SHINGLE] + U(k)
+        many = self.counts[self.short]
+        extra = many.astype(U) * U(0xA24BAED4963EE407)
+        for k in range(self.size - 1):
+            has = many > k
+            extra[has] += word_hash[self.first[has] + k] * _ROLL[k % SHINGLE] + U(k)
+        return mix(np.concatenate([v[self.whole], extra]))
+
+    def distinct(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of one shingle of each hash in its row, in order of row, then hash."""
+        order = np.lexsort((hashes, self.row))
+        keep = np.ones(len(order), bool)
+        h, of = hashes[order], self.row[order]
+        keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        return order[keep]
+
+
+def text_shingles(data: np.ndarray, offs: np.ndarray, seeds: tuple[int, ...] = (0,), size: int = SHINGLE) -> tuple[np.ndarray, ...]:
+    """(hashes..., rows) of the distinct word shingles of lower-cased (A-Z) text split at
+    ASCII white space, in order of row, then of the first seed's hash; a column of
+    independent hashes for each seed."""
     low = lower_ascii(data)
     s, e, row = word_bounds(~SPACE[low], offs)
-    return shingles(range_hash(prefix_hash(low), s, e), row, len(offs) - 1, size)
+    at = Shingles(row, len(offs) - 1, size)
+    hashes = [at.hashes(string_hash(low, s, e, seed)) for seed in seeds]
+    one = at.distinct(hashes[0])
+    return *(h[one] for h in hashes), at.row[one]
 
 
 def row_bounds(of: np.ndarray, n_rows: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, prefix_hash, range_hash, slices, utf8_text, word_bounds
+from .common import lower_ascii, slices, string_hash, utf8_text, word_bounds
 
 # Base phrases and their labels.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -117,7 +117,7 @@ class Scanner:
         data = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
         size = np.array([len(w.encode()) for w in vocabulary])
         start = np.cumsum(size + 1) - size - 1
-        hashes = range_hash(prefix_hash(data), start, start + size)
+        hashes = string_hash(data, start, start + size)
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order
         self.automaton = Automaton([[number[w] for w in t] for t in texts], self.n_phrases)
@@ -177,7 +177,7 @@ class Scanner:
             s, e, row = word_bounds(WORD[low], offs)
             n = rows.num_rows
             first = np.searchsorted(row, np.arange(n + 1), "left")
-            number = self.word_numbers(range_hash(prefix_hash(low), s, e)) if len(s) else np.zeros(0, np.int64)
+            number = self.word_numbers(string_hash(low, s, e)) if len(s) else np.zeros(0, np.int64)
             known = number >= 0
             cut = np.ones(len(number) + 1, bool)
             cut[1:-1] = (row[1:] != row[:-1]) | (known[1:] != known[:-1])

@@ -1,7 +1,7 @@
 """Operator 7: near-duplicate groups by MinHash bands and odd sketches.
 
 One scan computes, for every document, the size of its set of word shingles, a 128-bit
-identity of that set, ``BANDS`` band values of ``ROWS`` MinHash values each, and an odd
+identity of that set (two independent hashes of its words), ``BANDS`` band values of ``ROWS`` MinHash values each, and an odd
 sketch of all the MinHash values. Documents with the same set are one *node* from then
 on. Bands bring nodes together; for two nodes in a band the XOR of their odd sketches is
 counted, which bounds their similarity closely, and only pairs that may reach the
@@ -46,7 +46,7 @@ SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, buckets array<long
 def signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in slices(batch):
         n = rows.num_rows
-        sh, of = text_shingles(data, offs)
+        sh, other, of = text_shingles(data, offs, (0, 1))
         at = row_bounds(of, n)
         full = np.flatnonzero(at[1:] > at[:-1])
         start = at[:-1][full]
@@ -55,7 +55,7 @@ def signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         odd = np.zeros((len(full), SKETCH // 64), U)
         if len(full):
             k1[full] = mix(np.add.reduceat(mix(sh ^ U(0x5BD1E995)), start))
-            k2[full] = mix(np.add.reduceat(mix(sh + U(0x27D4EB2F165667C5)), start))
+            k2[full] = mix(np.add.reduceat(mix(other), start))
             line = np.arange(len(full))
             for b in range(BANDS):
                 acc = np.full(len(full), b + 1, U)
@@ -77,8 +77,9 @@ def signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Full sets for confirmation, by hashes independent of those that bands and sketches are made of."""
     for rows, data, offs in slices(batch):
-        sh, of = text_shingles(data, offs)
+        sh, of = text_shingles(data, offs, (1,))
         yield pa.record_batch([rows.column(0), list_array(as_long(sh), row_bounds(of, rows.num_rows))], names=["node", "items"])
 
 

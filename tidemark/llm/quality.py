@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, SPACE, lower_ascii, prefix_hash, range_hash, slices, utf8_text, word_bounds
+from .common import Scratch, SPACE, lower_ascii, slices, string_hash, utf8_text, word_bounds
 
 #: Expected number, at most, of the trusted positives and of the unlabelled documents that the fit sees.
 SAMPLE = 12_000
@@ -59,7 +59,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     low = lower_ascii(data)
     s, e, of = word_bounds(~SPACE[low], offs)
     words = np.bincount(of, minlength=n).astype(np.float64)
-    h = range_hash(prefix_hash(low), s, e)
+    h = string_hash(low, s, e)
     w = np.maximum(words, 1)
     length = (e - s).astype(np.float64)
     mean = np.bincount(of, length, n) / w

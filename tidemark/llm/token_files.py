@@ -14,6 +14,7 @@ running number, so repeated rows keep their own ids.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, lower_ascii, mix, prefix_hash, range_hash, slices, small_batches, utf8_text
+from .common import BASE, U, lower_ascii, mix, same_strings, slices, small_batches, string_hash, utf8_text
 
 #: Ids of a segment, from which the next one begins (1 MB); a longer document has one alone.
 SEGMENT_IDS = 250_000
@@ -48,6 +49,17 @@ CLASS[97:123] = LETTER
 CLASS[39] = OPEN  # an apostrophe begins contractions
 
 
+# The normaliser and the splitter that the fast path models.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Encodes texts as the library's tokenizer does, each distinct piece once.
 
@@ -59,23 +71,20 @@ class Encoder:
     not commute, so only pieces that are all ASCII are lower-cased here; others keep their
     bytes. Pieces of ASCII letters go to the tokenizer's model directly, all others through
     the whole tokenizer. Texts that hold a special token's opening are encoded
-    as a whole. Pieces are remembered by a 64-bit hash, in generations."""
+    as a whole, and so is every text if the tokenizer's normaliser or splitter is not the
+    one described. Pieces are found by a 64-bit hash and remembered with their bytes, in
+    generations; bytes decide, so pieces whose hashes collide get their own ids."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        made_of = json.loads(self.tokenizer.to_str())
+        self.known = (made_of["normalizer"], made_of["pre_tokenizer"], made_of["truncation"], made_of["padding"]) == (NORMALIZER, SPLITTER, None, None)
         self.model = self.tokenizer.model
         self.special = tuple({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.memory = [NOTHING] * 3  # new, young, old
 
-    @staticmethod
-    def _find(memory: tuple[np.ndarray, ...], h: np.ndarray) -> np.ndarray:
-        if not len(memory[0]):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(memory[0], h), len(memory[0]) - 1)
-        return np.where(memory[0][at] == h, at, -1)
-
     def _encoded(self, pieces: list[bytes], plain: np.ndarray) -> list[list[int]]:
         tokenize = self.model.tokenize
         out = [[t.id for t in tokenize(p.decode())] if easy else None for p, easy in zip(pieces, plain.tolist(), strict=True)]
@@ -84,9 +93,8 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a slice, each with the end id, and the texts' counts."""
-        n = len(offs) - 1
+    def pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(starts, ends, rows, bytes with ASCII pieces in lower case, running number of ASCII letters)."""
         low = lower_ascii(data)
         kind = CLASS[low]
         start = kind != BLANK
@@ -96,41 +104,63 @@ class Encoder:
             start[edge] = kind[edge] != BLANK
         s = np.flatnonzero(start)
         row = np.searchsorted(offs, s, "right") - 1
-        stop = kind == BLANK
-        blank = np.append(np.flatnonzero(stop), len(kind))
+        blank = np.append(np.flatnonzero(kind == BLANK), len(kind))
         e = np.minimum(np.append(s[1:], len(kind)), blank[np.searchsorted(blank, s)]) if len(s) else s
         e = np.minimum(e, offs[row + 1])
         beyond = np.append(0, np.cumsum(data >= 128))
         mixed = np.flatnonzero(beyond[e] > beyond[s])
         at = _ranges(s[mixed], e[mixed] - s[mixed])
         low[at] = data[at]
-        h, first, inverse = np.unique(range_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
-        places = [self._find(m, h) for m in self.memory]
+        return s, e, row, low, np.append(0, np.cumsum(kind == LETTER))
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a slice, each with the end id, and the texts' counts."""
+        n = len(offs) - 1
+        if not self.known:
+            return self._whole(data, offs)
+        s, e, row, low, letters = self.pieces(data, offs)
+        h, first, inverse = np.unique(string_hash(low, s, e), return_index=True, return_inverse=True)
+        size, model = e - s, first[inverse]
+        odd = (size != size[model]) | ~same_strings(low, s, low, s[model], np.minimum(size, size[model]))
+        if odd.any():  # pieces that share a hash with another one: each gets a number of its own
+            at = np.flatnonzero(odd)
+            number: dict[bytes, int] = {}
+            for i in at.tolist():
+                inverse[i] = len(h) + number.setdefault(low[s[i] : e[i]].tobytes(), len(number))
+            first = np.append(first, [at[np.argmax(inverse[at] == len(h) + k)] for k in range(len(number))])
+        known = np.arange(len(first)) < len(h)
+        h = np.append(h, np.zeros(len(first) - len(h), U))
+        a, b = s[first], e[first]
+        places = [_found(m, h, low, a, b, known) for m in self.memory]
         size = np.zeros(len(h), np.int64)
-        for memory, at in zip(self.memory[::-1], places[::-1], strict=True):
+        for memory, (at, _) in zip(self.memory[::-1], places[::-1], strict=True):
             has = at >= 0
             size[has] = memory[1][at[has] + 1] - memory[1][at[has]]
-        new = np.flatnonzero(np.maximum.reduce(places) < 0)
+        new = np.flatnonzero(np.maximum.reduce([at for at, _ in places]) < 0)
         raw = low.tobytes()
-        a, b = s[first[new]], e[first[new]]
-        letters = np.append(0, np.cumsum(kind == LETTER))
-        fresh = self._encoded([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], letters[b] - letters[a] == b - a)
+        fresh = self._encoded([raw[i:j] for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)], letters[b[new]] - letters[a[new]] == b[new] - a[new])
         size[new] = [len(x) for x in fresh]
         bounds = np.append(0, np.cumsum(size))
         pool = np.empty(bounds[-1], "<u4")
-        for memory, at in zip(self.memory[::-1], places[::-1], strict=True):
+        for memory, (at, _) in zip(self.memory[::-1], places[::-1], strict=True):
             has = np.flatnonzero(at >= 0)
             pool[_ranges(bounds[has], size[has])] = memory[2][_ranges(memory[1][at[has]], size[has])]
         if len(new):
             pool[_ranges(bounds[new], size[new])] = np.fromiter((t for x in fresh for t in x), np.uint32)
-        late = np.flatnonzero(np.maximum(places[0], places[1]) < 0)
-        self._remember((h[late], np.append(0, np.cumsum(size[late])), pool[_ranges(bounds[late], size[late])]))
+        late = np.flatnonzero((np.maximum(places[0][0], places[1][0]) < 0) & known & ~places[0][1] & ~places[1][1])
+        self._remember((h[late], np.append(0, np.cumsum(size[late])), pool[_ranges(bounds[late], size[late])], np.append(0, np.cumsum(b[late] - a[late])), low[_ranges(a[late], b[late] - a[late])]))
         many = size[inverse]
         per = np.bincount(row, many, n).astype(np.int64)
         out = np.full(per.sum() + n, self.end, "<u4")
         out[_ranges(np.append(0, np.cumsum(many))[:-1] + row, many)] = pool[_ranges(bounds[:-1][inverse], many)]
         return self._with_specials(data, offs, out, per + 1)
 
+    def _whole(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[x:y].decode() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        parts = [[*e.ids, self.end] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([t for p in parts for t in p], "<u4"), np.array([len(p) for p in parts], np.int64)
+
     def _with_specials(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         if not any(x in raw for x in self.special):
@@ -156,7 +186,8 @@ class Encoder:
         self.memory = [new, young, old]
 
 
-NOTHING = (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+#: Remembered pieces in order of hash: hashes, bounds and ids, bounds and bytes.
+NOTHING = (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.uint8))
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -167,12 +198,31 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
+def _found(memory: tuple[np.ndarray, ...], h: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pieces low[a:b] in ``memory`` (-1: not there), and whether another
+    piece with the same hash is there."""
+    if not len(memory[0]):
+        return np.full(len(h), -1), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(memory[0], h), len(memory[0]) - 1)
+    hit = np.flatnonzero((memory[0][at] == h) & known)
+    there = memory[3][at[hit]]
+    size = (b - a)[hit]
+    same = memory[3][at[hit] + 1] - there == size
+    same[same] = same_strings(low, a[hit][same], memory[4], there[same], size[same])
+    out, clash = np.full(len(h), -1), np.zeros(len(h), bool)
+    out[hit[same]], clash[hit[~same]] = at[hit[same]], True
+    return out, clash
+
+
 def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Two sorted tables of (hashes, bounds, ids) as one."""
+    """Two sorted tables of remembered pieces as one."""
     order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
-    sizes = np.concatenate([np.diff(a[1]), np.diff(b[1])])
-    starts = np.concatenate([a[1][:-1], len(a[2]) + b[1][:-1]])
-    return np.concatenate([a[0], b[0]])[order], np.append(0, np.cumsum(sizes[order])), np.concatenate([a[2], b[2]])[_ranges(starts[order], sizes[order])]
+    out = [np.concatenate([a[0], b[0]])[order]]
+    for bounds, values in ((1, 2), (3, 4)):
+        sizes = np.concatenate([np.diff(a[bounds]), np.diff(b[bounds])])
+        starts = np.concatenate([a[bounds][:-1], len(a[values]) + b[bounds][:-1]])
+        out += [np.append(0, np.cumsum(sizes[order])), np.concatenate([a[values], b[values]])[_ranges(starts[order], sizes[order])]]
+    return tuple(out)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
