@@ -5,21 +5,24 @@ Suffixes are sorted where strings can repeat, not everywhere. In every window of
 windows have equal anchors at the same place; one anchor serves a run of windows, and the
 run with all its bytes is the anchor's context (at most 80 bytes).
 
-1. Texts that a smaller doc_id has too as a whole are found by their hashes; they go, and
+1. Texts that a smaller doc_id has too as a whole are found by their SHA-256; they go, and
    take no further part.
 2. Every other document gives its anchors with hashes of their contexts. Dealt by anchor
    and sorted, they show which contexts a smaller doc_id has too (covered as a whole) and
-   which first contexts stand beside different ones of the same anchor.
-3. The latter's bytes are dealt by anchor. Their windows are suffixes of a block's text: a
-   mergesort orders them, comparing two suffixes by the longest common extension, which
-   prefix polynomial hashes and a binary search give in six probes. Neighbours that agree
-   in 50 bytes are verified byte by byte; the smallest doc_id of a run of equal suffixes
-   decides. Windows of an anchor with more contexts than a block may hold are dealt by
-   their own 128-bit hashes instead, so that no anchor is one task's work.
+   which first contexts stand beside different ones of the same anchor. A context that a
+   task has met before under a smaller doc_id is decided there: it travels, but by its
+   document, so an anchor that very many documents share is no one task's work.
+3. The first contexts' bytes are dealt by anchor, or, if an anchor has more than ``GROUP``,
+   window by window. Their windows are suffixes of a block's text: a mergesort orders them,
+   comparing two suffixes by the longest common extension, which prefix polynomial hashes
+   and a binary search give in six probes. Neighbours that agree in 50 bytes are verified
+   byte by byte; the smallest doc_id of a run of equal suffixes decides. A window that a
+   task has met before (verified byte by byte as well) is decided there.
 4. Documents meet what was found, cut the covered bytes and hash the rest.
 
 The texts are exchanged once, by doc_id, for all steps. Every step streams sorted rows in
-bounded blocks, so no group is held in memory as a whole.
+bounded blocks, so no group is held in memory as a whole; long texts are worked through
+piece by piece.
 """
 
 from __future__ import annotations
@@ -32,49 +35,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_long, mix, powers, prefix_hash, slices, utf8_text
+from .common import BASE, CHUNK_BYTES, U, as_long, mix, slices, string_hash, utf8_text
 
 WINDOW, ANCHOR = 50, 20
 SPAN = WINDOW - ANCHOR + 1
-#: Rows that are handled together; contexts of one anchor up to which they are sorted.
+#: Rows that are handled together; first contexts of one anchor up to which they are dealt together.
 BLOCK, GROUP = 16_384, 2_048
+#: Starts of windows that are worked through at a time (at least a slice of several texts).
+PIECE = CHUNK_BYTES
+#: Strings that a task remembers to decide on later ones: contexts (24 bytes each), windows (66 bytes each).
+SEEN_CONTEXTS, SEEN_WINDOWS = 1 << 19, 1 << 16
+#: Whole texts with the most copies, which are sent to all executors (50 KB) as their copies may be a third of all rows.
+HOT = 1_000
 NO_ID = (1 << 63) - 1
 PLACE = U((1 << 28) - 1)
 #: The windows of a context as bits; all of them.
 WHOLE = -1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+_INVERSE = pow(BASE, -1, 1 << 64)
+_powers = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((BASE, _INVERSE)):
+            p = np.full(max(n, PIECE + WINDOW + 1), b, U)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """h with h[j]-h[i] == sum of (byte+1)*BASE**position over i <= position < j."""
+    p, _ = powers(len(data) + 1)
+    h = np.zeros(len(data) + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * p[:-1], out=h[1:])
+    return h
+
+
+def anchors(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, anchor place, first window, last window, row) of each run of windows
+    with the same anchor, piece by piece. Ties go to the leftmost place. Only a text that
+    is alone in its slice has several pieces, so a text's runs are always the same."""
+    for p in range(0, max(0, len(data) - WINDOW + 1), PIECE):
+        part = data[p : p + PIECE + WINDOW - 1]
+        h = prefix_hash(part)
+        _, inv = powers(len(h))
+        v = mix((h[ANCHOR:] - h[:-ANCHOR]) * inv[: len(h) - ANCHOR] + U(ANCHOR))
+        m = (v & ~PLACE) | np.arange(len(v), dtype=U)
+        for step in (1, 2, 4, 8):
+            m = np.minimum(m[:-step], m[step:])  # after it, the least of 2 * step places
+        n = len(part) - WINDOW + 1
+        m = np.minimum(m[:n], m[SPAN - 16 :][:n])
+        row = np.searchsorted(offs, np.arange(p, p + n), "right") - 1
+        starts = np.flatnonzero(np.arange(p, p + n) + WINDOW <= offs[row + 1])
+        if not len(starts):
+            continue
+        at = (m[starts] & PLACE).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = (at[1:] != at[:-1]) | (row[starts][1:] != row[starts][:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(starts)) - 1
+        yield v[at[first]], at[first] + p, starts[first] + p, starts[last] + p, row[starts[first]]
+
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, anchor place, first window, last window, row, prefix hash) of each
-    run of windows with the same anchor. Ties go to the leftmost place."""
-    h = prefix_hash(data)
-    z = np.zeros(0, np.int64)
-    if len(data) < WINDOW:
-        return np.zeros(0, U), z, z, z, z, h
-    _, inv = powers(len(h))
-    v = mix((h[ANCHOR:] - h[:-ANCHOR]) * inv[: len(h) - ANCHOR] + U(ANCHOR))
-    m = (v & ~PLACE) | (np.arange(len(v), dtype=U) & PLACE)
-    for step in (1, 2, 4, 8):
-        m = np.minimum(m[:-step], m[step:])  # after it, the least of 2 * step places
-    m = np.minimum(m[: len(data) - WINDOW + 1], m[SPAN - 16 :][: len(data) - WINDOW + 1])
-    row = np.repeat(np.arange(len(offs) - 1), offs[1:] - offs[:-1])[: len(m)]
-    starts = np.flatnonzero(np.arange(len(m)) + WINDOW <= offs[row + 1])
-    if not len(starts):
-        return np.zeros(0, U), z, z, z, z, h
-    at = starts + ((m[starts] - starts.astype(U)) & PLACE).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (at[1:] != at[:-1]) | (row[starts][1:] != row[starts][:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return v[at[first]], at[first], starts[first], starts[last], row[starts[first]], h
-
-
-def context_hash(h: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def context_hash(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """48 bits, used beside the 64 of the anchor; shorter values travel better."""
-    _, inv = powers(len(h))
-    size = last + WINDOW - first
-    return mix(mix((h[last + WINDOW] - h[first]) * inv[first] + size.astype(U)) + (at - first).astype(U)) >> U(16)
+    return mix(string_hash(data, first, last + WINDOW, 2) + (at - first).astype(U)) >> U(16)
+
+
+class Seen:
+    """The smallest ids of strings that a task has met, in a table of bounded size in which
+    a string has one place (so what returns often is there). Strings are known by two
+    hashes and, with ``width``, by their bytes."""
+
+    def __init__(self, slots: int, width: int = 0):
+        self.a, self.b, self.id = np.zeros(slots, U), np.zeros(slots, U), np.full(slots, NO_ID)
+        self.bytes = np.zeros((slots, width), np.uint8)
+
+    def decided(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Of strings (a, b): an order of them; in it, which ones a smaller id has too, here
+        or earlier in the task, and which repeat string and id of the one before."""
+        order = np.lexsort((ids, b, a))
+        x, y, d = a[order], b[order], ids[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        slot = ((x[first] ^ y[first]) % U(len(self.id))).astype(np.int64)
+        known = (self.a[slot] == x[first]) & (self.b[slot] == y[first]) & (self.id[slot] < NO_ID)
+        before = np.where(known, self.id[slot], NO_ID)
+        out = d > np.minimum(d[first], before)[group]
+        if text is not None:
+            t = text[order]
+            inside = (t == t[first][group]).all(1)
+            earlier = (t == self.bytes[slot][group]).all(1)
+            out = (inside & (d > d[first][group])) | (earlier & (d > before[group]))
+        repeat = ~new
+        repeat[1:] &= d[1:] == d[:-1]
+        put = d[first] < before
+        self.a[slot[put]], self.b[slot[put]], self.id[slot[put]] = x[first][put], y[first][put], d[first][put]
+        if text is not None:
+            self.bytes[slot[put]] = t[first][put]
+        return order, out, repeat
 
 
 def once(*keys: np.ndarray) -> np.ndarray:
@@ -89,16 +154,23 @@ def once(*keys: np.ndarray) -> np.ndarray:
 ASKED = "anchor long, id long, context long"
 VERDICTS = "id long, kind byte, context long"
 COVERED, SORT, DEAL = 0, 1, 2
+#: Added to a context that is covered for certain; such rows are dealt by document.
+SURE = 1 << 62
 
 
 def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2, in documents: anchors with their contexts, each once."""
+    seen = Seen(SEEN_CONTEXTS)
     for batch in batches:
         for rows, data, offs in slices(batch):
-            v, at, first, last, row, h = anchors(data, offs)
-            c = context_hash(h, at, first, last)
-            keep = once(row, c, v)
-            yield pa.record_batch([pa.array(as_long(v[keep])), rows.column(0).take(pa.array(row[keep])), pa.array(as_long(c[keep]))], names=["anchor", "id", "context"])
+            ids = rows.column(0).to_numpy()
+            for v, at, first, last, row in anchors(data, offs):
+                c = context_hash(data, at, first, last)
+                order, sure, repeat = seen.decided(v, c, ids[row])
+                order, sure = order[~repeat], sure[~repeat]
+                v, c, d = v[order], c[order], ids[row][order]
+                key = np.where(sure, mix(d.view(U) + c), v)
+                yield pa.record_batch([pa.array(as_long(key)), pa.array(d), pa.array(as_long(c) + np.where(sure, SURE, 0))], names=["anchor", "id", "context"])
 
 
 def by_key(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -129,6 +201,12 @@ def judge(batches: Iterator[pa.RecordBatch], size: int, group: int) -> Iterator[
     wide: int | None = None  # an anchor of several blocks
     for rows, ended in by_key(batches, size):
         a, d, c = (rows.column(i).to_numpy() for i in range(3))
+        sure = c >= SURE
+        if sure.any():
+            yield pa.record_batch([pa.array(d[sure]), pa.array(np.full(int(sure.sum()), COVERED, np.int8)), pa.array(c[sure] - SURE)], names=["id", "kind", "context"])
+            a, d, c = a[~sure], d[~sure], c[~sure]
+            if not len(a):
+                continue
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
         if last and last[:2] == (int(a[0]), int(c[0])):
@@ -154,8 +232,11 @@ def judge(batches: Iterator[pa.RecordBatch], size: int, group: int) -> Iterator[
         )
 
 
-DEALT = "key long, second long, id long, bytes binary"
+DEALT = "key long, id long, context long, bytes binary"
 MASKS = "id long, context long, windows long"
+#: The first byte of a row's bytes: the anchor's place in a context; or, plus this, the step of a
+#: single window; or the step of a window that is covered for certain.
+SINGLE, CERTAIN = 64, 128
 
 
 def listed(column: pa.Array, n_rows: int) -> tuple[np.ndarray, ...]:
@@ -169,44 +250,51 @@ def binary(parts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(parts)])
 
 
+def cut_out(data: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """For each row its tag and ``size`` bytes from ``start``."""
+    ends = np.cumsum(size + 1)
+    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size + 1)
+    text = data[np.maximum(where, 0)]
+    text[ends - size - 1] = tag
+    return binary(text, ends)
+
+
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, in documents: for SORT, (anchor, 0, id, place and bytes of the context); for
-    DEAL, (window hash, second hash, id, context and step) of every window."""
+    """Step 3, in documents: for SORT, the anchor with place and bytes of the context; for
+    DEAL, every window's hash with the window's step and bytes."""
+    seen = Seen(SEEN_WINDOWS, WINDOW)
+    names = ["key", "id", "context", "bytes"]
     for batch in batches:
         for rows, data, offs in slices(batch):
             of, kind, name = listed(rows.column(2), rows.num_rows)
             if not len(of):
                 continue
-            v, at, first, last, row, h = anchors(data, offs)
-            c = context_hash(h, at, first, last)
-            own = mix(c + mix(row.astype(U)))
-            id_ = rows.column(0)
-            for k in (SORT, DEAL):
-                some = kind == k
-                if not some.any():
-                    continue
-                keep = np.flatnonzero(np.isin(own, mix(name[some].view(U) + mix(of[some].astype(U)))))
-                keep = keep[once(row[keep], c[keep])]
-                f, l, r = first[keep], last[keep], row[keep]
-                if k == SORT:
-                    n = l + WINDOW - f + 1
-                    ends = np.cumsum(n)
-                    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(f - 1 - ends + n, n)
-                    text = data[np.maximum(where, 0)]
-                    text[ends - n] = (at[keep] - f).astype(np.uint8)
-                    yield pa.record_batch([pa.array(as_long(v[keep])), pa.array(np.zeros(len(keep), np.int64)), id_.take(pa.array(r)), binary(text, ends)], names=["key", "second", "id", "bytes"])
-                    continue
-                n = l - f + 1
-                which = np.repeat(np.arange(len(keep)), n)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                w = f[which] + step
-                h2 = prefix_hash((mix(data.astype(U)) >> U(56)).astype(np.uint8))
-                inv = powers(len(h))[1]
-                one, two = (mix((x[w + WINDOW] - x[w]) * inv[w] + U(i)) for i, x in enumerate((h, h2)))
-                tail = np.empty((len(w), 9), np.uint8)
-                tail[:, :8] = c[keep][which].astype("<u8").view(np.uint8).reshape(-1, 8)
-                tail[:, 8] = step
-                yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two | U(1))), id_.take(pa.array(r[which])), binary(tail.ravel(), np.arange(1, len(w) + 1) * 9)], names=["key", "second", "id", "bytes"])
+            ids = rows.column(0).to_numpy()
+            asked = {k: mix(name[kind == k].view(U) + mix(of[kind == k].astype(U))) for k in (SORT, DEAL)}
+            for v, at, first, last, row in anchors(data, offs):
+                c = context_hash(data, at, first, last)
+                own = mix(c + mix(row.astype(U)))
+                for k in (SORT, DEAL):
+                    if not len(asked[k]):
+                        continue
+                    keep = np.flatnonzero(np.isin(own, asked[k]))
+                    keep = keep[once(row[keep], c[keep])]
+                    if not len(keep):
+                        continue
+                    f, l, d, own_c = first[keep], last[keep], ids[row[keep]], as_long(c[keep])
+                    if k == SORT:
+                        yield pa.record_batch([pa.array(as_long(v[keep])), pa.array(d), pa.array(own_c), cut_out(data, at[keep] - f, f, l + WINDOW - f)], names=names)
+                        continue
+                    n = l - f + 1
+                    which = np.repeat(np.arange(len(keep)), n)
+                    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    w = f[which] + step
+                    text = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[w]
+                    key = string_hash(data, w, w + WINDOW)
+                    order, sure, _ = seen.decided(key, np.zeros(len(key), U), d[which], text)
+                    which, step, w, key = which[order], step[order], w[order], key[order]
+                    key = np.where(sure, mix(d[which].view(U) + key), key)
+                    yield pa.record_batch([pa.array(as_long(key)), pa.array(d[which]), pa.array(own_c[which]), cut_out(data, np.where(sure, CERTAIN, SINGLE) + step, w, np.where(sure, 0, WINDOW))], names=names)
 
 
 class Suffixes:
@@ -283,50 +371,59 @@ class Suffixes:
 
 
 def masks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Step 3, over rows sorted by (key, second, id): which windows of a context a smaller
-    doc_id has too, as bits."""
-    last: tuple[int, int, int] | None = None  # key and second of the last window, and its smallest id
+    """Step 3, over rows sorted by (key, id): which windows of a context a smaller doc_id has
+    too, as bits. Of a key with several blocks of rows, the first row of every window met so
+    far goes into the next block."""
+    before: pa.RecordBatch | None = None
     for rows, _ in by_key(batches, size):
-        key, second, d = (rows.column(i).to_numpy() for i in range(3))
-        dealt = np.flatnonzero(second != 0)
-        if len(dealt):
-            k, t, i = key[dealt], second[dealt], d[dealt]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-            if last and last[:2] == (int(k[0]), int(t[0])):
-                new[0] = False
-            low = np.append(i[new], last[2] if last else 0)[np.cumsum(new) - 1]
-            last = int(k[-1]), int(t[-1]), int(low[-1])
-            hit = np.flatnonzero(i > low)
-            if len(hit):
-                tail = np.frombuffer(b"".join(rows.column(3).take(pa.array(dealt[hit])).to_pylist()), np.uint8).reshape(-1, 9)
-                yield pa.record_batch([pa.array(i[hit]), pa.array(np.ascontiguousarray(tail[:, :8]).view("<i8").ravel()), pa.array(np.int64(1) << tail[:, 8].astype(np.int64))], names=["id", "context", "windows"])
-        own = rows.filter(pa.array(second == 0)) if len(dealt) else rows
-        if own.num_rows:
-            yield from sort_block(own)
-
-
-def sort_block(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    key, d, col = rows.column(0).to_numpy(), rows.column(2).to_numpy(), rows.column(3)
+        tag = tags(rows)
+        sure = np.flatnonzero(tag >= CERTAIN)
+        if len(sure):
+            yield pa.record_batch([rows.column(1).take(pa.array(sure)), rows.column(2).take(pa.array(sure)), pa.array(np.int64(1) << (tag[sure] - CERTAIN))], names=["id", "context", "windows"])
+            rows = rows.take(pa.array(np.flatnonzero(tag < CERTAIN)))
+            if not rows.num_rows:
+                continue
+        if before is not None and before.num_rows and before.column(0)[0] == rows.column(0)[0]:
+            rows = pa.Table.from_batches([before, rows]).combine_chunks().to_batches()[0]
+        found, first = sort_block(rows)
+        last = rows.column(0).to_numpy()
+        before = rows.take(pa.array(first[last[first] == last[-1]]))
+        if found.num_rows:
+            yield found
+
+
+def byte_rows(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    col = rows.column(3)
     offs = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
-    data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-    offs = offs - offs[0]
-    place, start, end = data[offs[:-1]].astype(np.int64), offs[:-1] + 1, offs[1:]
+    return np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+
+
+def tags(rows: pa.RecordBatch) -> np.ndarray:
+    data, offs = byte_rows(rows)
+    return data[offs[:-1]].astype(np.int64)
+
+
+def sort_block(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The bits of the rows' windows, and the rows of single windows that begin a run."""
+    key, d = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    data, offs = byte_rows(rows)
+    tag, start, end = data[offs[:-1]].astype(np.int64), offs[:-1] + 1, offs[1:]
+    alone = tag >= SINGLE
     n = end - start - WINDOW + 1
     which = np.repeat(np.arange(len(key)), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     at = start[which] + step
-    group = (np.cumsum(np.append(True, key[1:] != key[:-1])) - 1)[which] * 64 + place[which] - step + 32
+    group = (np.cumsum(np.append(True, key[1:] != key[:-1])) - 1)[which] * 64 + np.where(alone, 0, tag)[which] - step + 32
     s = Suffixes(data)
     order = s.sort(at, group)
     begin = np.flatnonzero(s.runs(at, group, order))
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(d[which][order], begin), np.diff(np.append(begin, len(order))))
+    step += np.where(alone, tag - SINGLE, 0)[which]
     bits = np.bincount(which, np.where(least < d[which], 2.0 ** step.astype(float), 0), len(key)).astype(np.int64)
-    hit = np.flatnonzero(bits)
-    if len(hit):
-        c = context_hash(s.h, start + place, start, end - WINDOW)
-        yield pa.record_batch([pa.array(d[hit]), pa.array(as_long(c[hit])), pa.array(bits[hit])], names=["id", "context", "windows"])
+    hit = pa.array(np.flatnonzero(bits))
+    first = which[order[begin]]  # the sort is stable and rows come by id: the smallest id's
+    return pa.record_batch([rows.column(1).take(hit), rows.column(2).take(hit), pa.array(bits[bits != 0])], names=["id", "context", "windows"]), np.sort(first[alone[first]])
 
 
 def cover(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
@@ -342,25 +439,24 @@ def cover(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> np.ndarra
     np.add.at(edge, offs[1:][copy], -1)
     if not len(of):
         return np.cumsum(edge[:-1]) > 0
-    v, at, first, last, row, h = anchors(data, offs)
     name = mix(con.view(U) + mix(of.astype(U)))
     order = np.argsort(name)
     name, win = name[order], win[order]
-    own = mix(context_hash(h, at, first, last) + mix(row.astype(U)))
-    place = np.minimum(np.searchsorted(name, own), max(0, len(name) - 1))
-    hit = np.flatnonzero(name[place] == own)
-    if len(hit):
-        begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        mask = np.bitwise_or.reduceat(win, begin)[np.searchsorted(name[begin], own[hit])]
-        all_ = hit[mask == WHOLE]
-        edge += np.bincount(first[all_], minlength=len(edge)).astype(np.int32) - np.bincount(last[all_] + WINDOW, minlength=len(edge)).astype(np.int32)
-        for i, bits in zip(hit[mask != WHOLE].tolist(), mask[mask != WHOLE].tolist(), strict=True):
-            f = int(first[i])
-            while bits:
-                j = (bits & -bits).bit_length() - 1
-                edge[f + j] += 1
-                edge[f + j + WINDOW] -= 1
-                bits &= bits - 1
+    begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    win, name = np.bitwise_or.reduceat(win, begin), name[begin]
+    for _, at, first, last, row in anchors(data, offs):
+        own = mix(context_hash(data, at, first, last) + mix(row.astype(U)))
+        place = np.minimum(np.searchsorted(name, own), len(name) - 1)
+        hit = np.flatnonzero(name[place] == own)
+        mask = win[place[hit]]
+        whole = hit[mask == WHOLE]
+        np.add.at(edge, first[whole], 1)
+        np.add.at(edge, last[whole] + WINDOW, -1)
+        hit, mask = hit[mask != WHOLE], mask[mask != WHOLE]
+        for j in range(SPAN):
+            f = first[hit[(mask >> j) & 1 == 1]] + j
+            np.add.at(edge, f, 1)
+            np.add.at(edge, f + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -404,15 +500,19 @@ def repeated_strings(docs: DataFrame, bytes_left: bool = False, block: int = BLO
     under 50 bytes lose nothing. Rows that share a doc_id do not cover each other; null
     doc_ids count as the largest. Other columns are not read."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), utf8_text())
-    marks = keyed.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n"))
-    first = marks.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.max("id").alias("most")).where("first < most").select("h1", "h2", "n", "first")
-    copies = marks.join(first, ["h1", "h2", "n"], "left").groupBy("id").agg(F.min(F.coalesce(F.col("first") < F.col("id"), F.lit(False))).alias("copy")).where("copy")
+    marks = keyed.select("id", F.unhex(F.sha2("text", 256)).alias("h"))
+    first = marks.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("most"), F.count("*").alias("n")).where("first < most")
+    hot = F.broadcast(first.orderBy(F.desc("n"), "h").limit(HOT).select("h", F.col("first").alias("known")))
+    marks = marks.join(hot, "h", "left")  # what is known needs no partner: dealt by id
+    marks = marks.select("id", "known", F.when(F.col("known").isNull(), F.col("h")).otherwise(F.col("id").cast("string").cast("binary")).alias("h"))
+    copy = F.coalesce(F.col("known") < F.col("id"), F.col("first") < F.col("id"), F.lit(False))
+    copies = marks.join(first.select("h", "first"), "h", "left").groupBy("id").agg(F.min(copy).alias("copy")).where("copy")
     rows = keyed.join(copies, "id", "left")
     asked = rows.where("copy is null").select("id", "text").mapInArrow(ask, ASKED).repartition("anchor").sortWithinPartitions("anchor", "context", "id")
     verdicts = asked.mapInArrow(lambda batches: judge(batches, block, group), VERDICTS).groupBy("id").agg(F.collect_list(F.struct("kind", "context")).alias("verdicts"))
     wanted = F.filter("verdicts", lambda x: x["kind"] > F.lit(COVERED))
     met = keyed.join(verdicts, "id").select("id", "text", wanted.alias("wanted")).where(F.size("wanted") > 0)
-    dealt = met.mapInArrow(contexts, DEALT).repartition("key").sortWithinPartitions("key", "second", "id")
+    dealt = met.mapInArrow(contexts, DEALT).repartition("key").sortWithinPartitions("key", "id")
     found = dealt.mapInArrow(lambda batches: masks(batches, block), MASKS).groupBy("id").agg(F.collect_list(F.struct("context", "windows")).alias("masks"))
     rows = rows.join(verdicts, "id", "left").join(found, "id", "left").select("id", "text", "copy", "verdicts", "masks")
     return rows.mapInArrow(cut, "doc_id long, kept binary") if bytes_left else rows.mapInArrow(remove, RESULT)
