@@ -4,10 +4,10 @@ Strong parts (assignments of secrets, access key ids, long hexadecimal strings)
 always reported. Weak candidates (client names, opaque strings, endpoints) are reported
 only where a complementary part stands in the same scope, a run of lines without a blank
 line, within ``REACH`` code points: an identifier needs a secret, a secret an identifier
-or an endpoint, an endpoint a secret. The interval join sweeps a document's parts in
-order of position, once from either end, and keeps for every role only the nearest end
-seen in the scope, so it grows with the number of parts and never leaves the row: there
-is no shuffle.
+or an endpoint, an endpoint a secret. The interval join sweeps a document's parts and the
+ends of its scopes in order of position, once from either end, and keeps for every role
+only the nearest end seen in the scope, so it grows with the number of parts and never
+leaves the row: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import find_spans
+from .spans import find_spans, let, scan
 
 # The base patterns, and the least lengths of what they find.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,33 +29,61 @@ SCOPE = r"\n[\x20\t\r]*\n"
 
 #: Kinds in order, with their roles; the first three are the base.
 KINDS = ("assign", "access", "hex", "client", "opaque", "endpoint")
-IDENTIFIER, SECRET, PLACE = 1, 2, 3
+BASE_KINDS = 3
+IDENTIFIER, SECRET, PLACE, BREAK = 1, 2, 3, 4
 ROLES = (SECRET, IDENTIFIER, SECRET, IDENTIFIER, SECRET, PLACE)
 REACH = 300
 
 _FAR = 1 << 30
 
 
-def _tagged(spans: Column, kind: int) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(ROLES[kind]).alias("role")))
+def _tagged(spans: Column, kind: int, role: int | None = None) -> Column:
+    role = ROLES[kind] if role is None else role
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(role).alias("role")))
 
 
-def _near(parts: Column, forward: bool) -> Column:
-    """For each part, in the given order, whether a complementary part before it in that
-    order is in its scope and within reach."""
-    edge = (lambda p: p["end"]) if forward else (lambda p: -p["start"])
-    mine = (lambda p: p["start"]) if forward else (lambda p: -p["end"])
+def _swept(parts: Column, start: Column, step, emit) -> Column:  # noqa: ANN001
+    """Whether ``emit`` holds for each part in a sweep from the left or in one from the
+    right; both get the direction as a last argument."""
+    left = scan(parts, start, lambda a, p: step(a, p, True), lambda a, p: emit(a, p, True), "array<boolean>")
+    right = F.reverse(scan(F.reverse(parts), start, lambda a, p: step(a, p, False), lambda a, p: emit(a, p, False), "array<boolean>"))
+    return F.zip_with(left, right, lambda x, y: x | y)
 
-    def step(acc: Column, p: Column) -> Column:
-        same = acc["scope"] == p["scope"]
-        seen = {r: F.when(same, acc[f"r{r}"]).otherwise(-_FAR) for r in (IDENTIFIER, SECRET, PLACE)}
-        ok = {r: mine(p) - seen[r] <= REACH for r in seen}
-        hit = F.when(p["role"] == SECRET, ok[IDENTIFIER] | ok[PLACE]).otherwise(ok[SECRET])
-        kept = [F.when(p["role"] == r, F.greatest(seen[r], edge(p))).otherwise(seen[r]).cast("int").alias(f"r{r}") for r in seen]
-        return F.struct(p["scope"].alias("scope"), *kept, F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    start = F.struct(F.lit(-1).alias("scope"), *[F.lit(-_FAR).alias(f"r{r}") for r in (IDENTIFIER, SECRET, PLACE)], F.array().cast("array<boolean>").alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def _keep(parts: Column, keep: Column) -> Column:
+    """The parts for which ``keep`` holds."""
+    pairs = F.zip_with(parts, keep, lambda p, k: F.struct(p.alias("p"), k.alias("k")))
+    return F.transform(F.filter(pairs, lambda x: x["k"]), lambda x: x["p"])
+
+
+def _covered(parts: Column) -> Column:
+    """Whether each part is a weak one that overlaps a strong one: the strong parts' farthest
+    end before it, and their nearest start after it."""
+    reach = lambda p, right: F.when(right, p["end"]).otherwise(-p["start"])
+    edge = lambda p, right: F.when(right, p["start"]).otherwise(-p["end"])
+    return _swept(
+        parts,
+        F.lit(-_FAR),
+        lambda a, p, right: F.when(p["kind"] < BASE_KINDS, F.greatest(a, reach(p, F.lit(right)))).otherwise(a),
+        lambda a, p, right: (p["kind"] >= BASE_KINDS) & (p["role"] != BREAK) & (a > edge(p, F.lit(right))),
+    )
+
+
+def _linked(parts: Column) -> Column:
+    """Whether each part has a complementary one in its scope and within reach."""
+    roles = {IDENTIFIER: "r1", SECRET: "r2", PLACE: "r3"}
+    none = F.struct(*[F.lit(-_FAR).alias(n) for n in roles.values()])
+
+    def step(a: Column, p: Column, right: bool) -> Column:
+        end = p["end"] if right else -p["start"]
+        seen = F.struct(*[F.when(p["role"] == r, F.greatest(a[n], end)).otherwise(a[n]).alias(n) for r, n in roles.items()])
+        return F.when(p["role"] == BREAK, none).otherwise(seen)
+
+    def emit(a: Column, p: Column, right: bool) -> Column:
+        near = {r: (p["start"] if right else -p["end"]) - a[n] <= REACH for r, n in roles.items()}
+        return F.when(p["role"] == SECRET, near[IDENTIFIER] | near[PLACE]).otherwise(near[SECRET])
+
+    return _swept(parts, none, step, emit)
 
 
 def _listed(spans: Column) -> Column:
@@ -91,20 +119,18 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat("assign", "access", "hex"))
     weak = F.concat("client", "opaque", "endpoint")
     d = d.select("doc_id", "text", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"), weak.alias("weak"))
-    # Opaque strings that overlap a strong part are that part.
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    d = d.select("doc_id", "text", "n_assign", "n_access", "n_hex", "base", F.when((F.size("weak") > 0) & (F.size("base") > 0), free).otherwise(F.col("weak")).alias("weak"))
-    several = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
-    breaks = F.when(several, F.transform(find_spans(t, SCOPE), lambda s: s["start"])).otherwise(F.array().cast("array<int>"))
-    d = d.select("doc_id", "n_assign", "n_access", "n_hex", "base", "weak", several.alias("several"), breaks.alias("breaks"))
-    parts = F.transform(
-        F.array_sort(F.concat("base", "weak")),
-        lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"), p["role"].alias("role"), F.size(F.filter("breaks", lambda b: b < p["start"])).alias("scope")),
-    )
-    d = d.select("doc_id", "n_assign", "n_access", "n_hex", "base", "weak", F.when(F.col("several"), parts).alias("parts"))
-    linked = F.zip_with(_near(F.col("parts"), True), F.reverse(_near(F.reverse("parts"), False)), lambda a, b: a | b)
-    kept = F.filter(F.zip_with("parts", linked, lambda p, l: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"), p["role"].alias("role"), l.alias("linked"))), lambda x: (x["kind"] < 3) | x["linked"])
-    kept = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["role"].alias("role")))
-    d = d.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.size("weak").alias("n"), F.when(F.col("parts").isNotNull(), kept).otherwise(F.col("base")).alias("kept"))
+    some = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
+    breaks = F.when(some, _tagged(find_spans(t, SCOPE), len(KINDS), BREAK))
+    d = d.select("doc_id", "n_assign", "n_access", "n_hex", "base", "weak", F.when(some, F.array_sort(F.concat("base", "weak", breaks))).alias("parts"))
+
+    def kept(parts: Column) -> Column:
+        """What is reported, and the number of weak parts that are no strong part (an opaque
+        string that overlaps one is that part)."""
+        free = _keep(parts, F.transform(_covered(parts), lambda c: ~c))
+        is_weak = lambda p: (p["kind"] >= BASE_KINDS) & (p["role"] != BREAK)
+        return let(free, lambda f: F.struct(_keep(f, F.zip_with(f, _linked(f), lambda p, l: (p["kind"] < BASE_KINDS) | (is_weak(p) & l))).alias("kept"), F.size(F.filter(f, is_weak)).alias("n")))
+
+    d = d.withColumn("x", F.when(F.col("parts").isNotNull(), let(F.col("parts"), kept)))
+    d = d.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.coalesce("x.n", F.size("weak")).alias("n"), F.coalesce("x.kept", "base").alias("kept"))
     found = (F.size("kept") - F.size("base")).cast("long")
     return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("kept")).alias("spans"), found.alias("n_weak"), (F.col("n") - found).alias("n_dropped"))
