@@ -443,13 +443,68 @@ def test_surrogate_forms(spark):
 
 def test_surrogate_collisions(spark, monkeypatch):
     """Few possible surrogates: later attempts keep entities apart and away from real ones."""
-    monkeypatch.setattr(pii, "_digits", lambda h: F.lpad(F.pmod(pii._number(h, 1), F.lit(40)).cast("string"), 64, "0"))
-    texts = [f"call 111-111-{i:04d} now" for i in range(20)]
-    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    monkeypatch.setattr(pii, "ROUNDS", 60)
-    monkeypatch.setattr(pii, "_filled", lambda m, digits: F.concat(F.lit("900-000-00"), F.substring(digits, 64, 2)))
-    out = [r.text for r in pii.replace_pii(df, "k").collect()]
-    assert len(set(out)) == 20 and not set(out) & set(texts)
+    monkeypatch.setattr(pii, "_filled", lambda m, digits: F.concat(F.lit("900-000-00"), F.lpad(F.pmod(F.xxhash64(digits), F.lit(40)).cast("string"), 2, "0")))
+    texts = [f"call 111-111-{i:04d} now" for i in range(60)] + ["call 900-000-0007 now"]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), DOCS), "k").collect()]
+    assert len({re.sub(r"\D", "", t) for t in out}) == 61 and not set(out) & set(texts)
+
+
+def test_surrogate_coreference(spark):
+    """Mentions of one person or number agree under other titles, given names and codes."""
+    texts = ["Mr Brown", "Mister Brown", "Mr John Brown", "Dr. J. Brown", "Mr John Smith", "+1 988 555 2485", "988-555-2485", "Herr Ludwig van Brown", "MR BROWN", "Mr JOHN BROWN"]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), DOCS), "key").orderBy("doc_id").collect()]
+    surname = got[0].split()[1]
+    assert [t.split()[-1] for t in got[:4]] == [surname] * 4 and got[7].split()[-1] == surname and got[7].split()[2] == "van"
+    assert got[2].split()[1] == got[4].split()[1] != surname and got[4].split()[2] != surname
+    assert re.fullmatch(r"Dr\. [A-Z]\. " + surname, got[3]) and got[9].split()[1:] == [got[2].split()[1].upper(), surname.upper()]
+    assert got[8] == "MR BROWN"  # titles are found as they are listed
+    assert re.sub(r"\D", "", got[5]) == "1" + re.sub(r"\D", "", got[6])
+
+
+def brute_spans(text):
+    """Leftmost matches in order of the kinds, by another engine."""
+    import regex
+
+    one = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    return [(m.lastgroup, m.start(), m.end()) for m in one.finditer(text)]
+
+
+def test_surrogates_by_brute_force(spark):
+    """Random texts: all matches and nothing else is replaced, and surrogates are a function
+    of kind and normalised value without collisions."""
+    rng = random.Random(14)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    bits = [
+        lambda: f"{rng.choice(['a.b', 'Bob', 'x_1'])}@{rng.choice(['h.org', 'mail.h.co.uk', 'h'])}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.randrange(999):03d}-{rng.randrange(99):02d}-{rng.randrange(9999):04d}",
+        lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(6)}", lambda: digits(16), lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"{rng.choice(['Mr', 'Mrs.', 'Dr', 'г-н'])} {rng.choice(['Smith', 'Anna Smith', 'J. Smith', 'von Smith', 'Иванов', 'x'])}",
+        lambda: rng.choice([" ", ", ", ". ", "-", "\n", "é", "word", "12"]),
+    ]
+    texts = ["".join(rng.choice(bits)() + rng.choice(["", " ", "¦", " ¦ ", "¦"]) for _ in range(rng.randrange(25))) for _ in range(300)]
+    of, taken = {}, {}
+    for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), DOCS), "key").collect():
+        text, want = texts[r.doc_id], brute_spans(texts[r.doc_id])
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want) and r.n_entities == len(want) and r.kinds == ",".join(sorted({k for k, _, _ in want}))
+        kept = [text[a:b] for a, b in zip([0] + [x[2] for x in want], [x[1] for x in want] + [len(text)], strict=True)]
+        if not all("¦" in x for x in kept[1:-1]):
+            continue  # where surrogates end would be a guess
+        m = re.fullmatch("(.+?)".join(map(re.escape, kept)), r.text, re.S)
+        assert m and all(new != text[a:b] for new, (_, a, b) in zip(m.groups(), want, strict=True))
+        for new, (k, a, b) in zip(m.groups(), want, strict=True):
+            if k in ("ip", "ssn", "card"):
+                old, new = re.sub(r"[ -]", "", text[a:b]), re.sub(r"[ -]", "", new)
+                assert of.setdefault((k, old), new) == new and taken.setdefault((k, new), old) == old
+    assert len(of) > 50
+
+
+def test_surrogates_of_hostile_texts(spark):
+    """Texts that make greedy loops deep or long, and more names than short surrogates."""
+    texts = ["x@" + "a." * 50_000 + "com", "y" * 1_000_000 + "@h.org", "Mr " * 20_000 + "Smith", "Mr " + "van " * 20_000 + "Smith", "Mr A" + "-bb" * 20_000, "1 " * 50_000, "+1" + "(" * 50_000 + "2", "192.168." * 20_000]
+    texts.append(" ".join(f"Mr Z{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 1000]}" for i in range(10_000)))
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), DOCS), "key").collect()}
+    assert time.monotonic() - began < 60
+    assert got[0].kinds == got[1].kinds == "email" and got[1].text.endswith(".example") and len(got[1].text) > 1_000_000
+    assert got[8].n_entities == 10_000 and len(set(got[8].text.split()[1::2])) == 10_000
 
 
 def brute_top(vectors, k=5):
