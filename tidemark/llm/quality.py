@@ -4,8 +4,8 @@ Trusted positives (documents labelled good) and unlabelled web text train a smal
 that minimises the non-negative unbiased risk (Kiryo et al., 2017): the risk on the
 unlabelled text less the positives' share of it stands in for the risk on negatives, and
 is not allowed to fall below zero. The class prior is estimated from the same two
-samples by the best bin (Garg et al., 2021): the smallest ratio of the unlabelled to the
-positive share above a score. Labels other than the trusted positives are not used.
+samples by the best bin (Garg et al., 2021), crosswise on two halves: the smallest ratio of
+the unlabelled to the positive share above a score. Labels other than the trusted positives are not used.
 
 Features describe the whole text (character classes and their pairs, words, repetition);
 language, source and ids are no inputs. One scan computes them for all documents; the
@@ -15,6 +15,7 @@ fit sees at most ``SAMPLE`` rows of either kind, drawn by a hash of the id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .common import Scratch, SPACE, lower_ascii, slices, string_hash, utf8_text,
 
 #: Expected number, at most, of the trusted positives and of the unlabelled documents that the fit sees.
 SAMPLE = 12_000
+#: Gradient steps of the fit (a third of them for the prior's networks).
+STEPS = 700
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -108,7 +111,8 @@ class Network:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(x)[1], -30, 30)))
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None, epochs: int = 30, batch: int = 512, rate: float = 3e-3, least_steps: int = 0) -> Network:
+    def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = STEPS, batch: int = 512, rate: float = 3e-3) -> Network:
+        """``steps`` steps, whatever the number of rows, on batches of about ``batch`` of either kind."""
         rng = np.random.default_rng(self.seed)
         both = np.concatenate([pos, unl])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-2
@@ -118,7 +122,7 @@ class Network:
         theta = [self.w1, self.b1, self.w2, np.zeros(1)]
         m, v, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
         rounds = max(1, min(len(pos), len(unl)) // batch)
-        for _ in range(max(epochs, least_steps // rounds)):
+        for _ in range(ceil(steps / rounds)):
             ps, us = np.array_split(rng.permutation(len(pos)), rounds), np.array_split(rng.permutation(len(unl)), rounds)
             for p, u in zip(ps, us, strict=True):
                 x = np.concatenate([pos[p], unl[u]])
@@ -149,16 +153,24 @@ class Network:
         return self
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives among the unlabelled, by the best bin of held-back halves."""
-    half = Network(seed=3).fit(pos[::2], unl[::2], None, epochs=12)
-    p, u = np.sort(half.scores(pos[1::2])), np.sort(half.scores(unl[1::2]))
-    at = np.unique(p[: max(1, int(len(p) * 0.98))])
-    qp, qu = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
-    slack = np.sqrt(np.log(40) / 2 / len(u)) + np.sqrt(np.log(40) / 2 / len(p))
+def best_bin(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of unlabelled over that of positives above the score where the ratio's
+    upper confidence bound is least; both sorted."""
+    at = np.unique(pos[: max(1, int(len(pos) * 0.98))])
+    qp, qu = 1 - np.searchsorted(pos, at) / len(pos), 1 - np.searchsorted(unl, at) / len(unl)
+    slack = np.sqrt(np.log(40) / 2 / len(unl)) + np.sqrt(np.log(40) / 2 / len(pos))
     best = np.argmin((qu + slack) / qp)
-    few = max(0.0, slack - 0.2)  # from tens of rows rather too high a share, so that good documents stay
-    return float(np.clip(qu[best] / qp[best] + few, 0.02, 0.98))
+    return float(qu[best] / qp[best])
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives among the unlabelled: the best bin of either half's scores by a
+    network that was fitted to the other half, averaged. Both need two rows at least."""
+    found = []
+    for a, b in ((0, 1), (1, 0)):
+        half = Network(seed=3).fit(pos[a::2], unl[a::2], None, steps=STEPS // 3)
+        found.append(best_bin(np.sort(half.scores(pos[b::2])), np.sort(half.scores(unl[b::2]))))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -176,8 +188,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Trusted positives: documents all of whose ``labels`` rows have quality 1, outside the
     held-out fold; unlabelled: documents outside it, whatever their labels. Null and empty
-    texts are scored like any other (their features are zero). With no trusted positive or
-    no document every score is 0.5. Repeated rows get equal scores; a null doc_id is not
+    texts are scored like any other (their features are zero). With fewer than
+    two trusted positives or two unlabelled documents nothing can be estimated and every
+    score is 0.5. Repeated rows get equal scores; a null doc_id is not
     held out and not trained on. Other columns of either table are not read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -191,9 +204,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     pos = some(table.join(chosen, "doc_id"))
     unl = some(table.where(train & F.col("doc_id").isNotNull() & drawn(table.count())))
     net = None
-    if len(pos) and len(unl):
+    if min(len(pos), len(unl)) > 1:
         p, u = np.stack(pos["features"].to_numpy()).astype(np.float64), np.stack(unl["features"].to_numpy()).astype(np.float64)
-        net = Network().fit(p, u, class_prior(p, u) if min(len(p), len(u)) >= 40 else 0.5, least_steps=150)
+        net = Network().fit(p, u, class_prior(p, u))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
