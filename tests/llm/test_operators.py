@@ -252,12 +252,55 @@ def test_mixing(spark):
     key = lambda x: sorted(map(str, x))
     assert key(got) == key(mixing.Mix(df.repartition(7)).taken().collect())  # reruns agree
     slots = mix.slots().collect()
-    assert len({(r.shard, r["slot"]) for r in slots}) == len(slots) == mix.plan.agg(F.sum("slots")).first()[0]
+    assert len({(r.shard, r["slot"]) for r in slots}) == len(slots) == mix.n_slots
+    assert len({(r.source_key, r.block, r["pass"]) for r in slots}) == len(slots)  # a pass takes a block once
+    fill = defaultdict(int)
+    for r in mix.output().collect():
+        fill[r.doc_id] += r.n_words
+    assert {d: n for d, n in fill.items()} == {d: n for d, n in taken_of(got).items() if n}
     docs = mixing.mixed_documents(df)
     assert docs.columns == df.columns and sum(len(words(r.text)) for r in docs.collect()) == sum(taken.values())
     assert mixing.Mix(df.limit(0)).taken().count() == 0 == mixing.mixed_documents(df.limit(0)).count()
 
 
+def taken_of(rows):
+    out = defaultdict(int)
+    for r in rows:
+        out[r.doc_id] += r.taken
+    return out
+
+
+def test_shard_draws(spark, monkeypatch):
+    """Counts of sources by shard are multinomial; targets hold exactly all the same."""
+    monkeypatch.setattr(mixing, "SHARD", 256)
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 400), "abc"[i % 3]) for i in range(900)]
+    mix = mixing.Mix(spark.createDataFrame(rows, DOCS + ", source string"), block=8)
+    plan = {r.source_key[1:]: r.slots for r in mix.plan.collect()}
+    counts = defaultdict(dict)
+    for r in mix.shard_counts().collect():
+        counts[r.shard][r.source_key[1:]] = r.n
+    full = [c for c in counts.values() if sum(c.values()) == 256]
+    assert len(full) > 200
+    for s, n in plan.items():
+        p, seen = n / mix.n_slots, np.array([c.get(s, 0) for c in full])
+        assert abs(seen.mean() / (256 * p) - 1) < 0.02 and 0.75 < seen.var() / (256 * p * (1 - p)) < 1.3
+    final = defaultdict(int)
+    for r in mix.slots().collect():
+        final[r.source_key[1:]] += 1
+    assert dict(final) == plan and {s: sum(c.get(s, 0) for c in counts.values()) for s in plan} != plan
+
+
+def test_located(spark):
+    spans_ = [(0, 3, "a"), (3, 0, "none"), (3, 1, "b"), (4, 50, "c"), (54, 46, "d")]
+    points = spark.range(100)
+    for few in (0, 100):
+        mixing.FEW_SOURCES, kept = few, mixing.FEW_SOURCES
+        got = {r.id: r.k for r in mixing.located(points, "id", spark.createDataFrame(spans_, "low long, size long, k string"), 100, 5).collect()}
+        mixing.FEW_SOURCES = kept
+        assert got == {i: next(k for a, n, k in spans_ if a <= i < a + n) for i in range(100)}
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 64, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p"))
@@ -287,6 +330,13 @@ def test_token_files(spark, tmp_path):
         at += n
     assert token_files.ids_of(spark, out, None) == tk.encode("no id", add_special_tokens=False).ids + [2]
     assert token_files.ids_of(spark, out, 5, 1) is not None and token_files.ids_of(spark, out, 5, 9) is None and token_files.ids_of(spark, out, 123_456) is None
+    by_id = {(r[0], r[2], r[3]) for r in got}
+    token_files.write_token_files(df, out, path, 2, shuffled=True)
+    mixed = sorted(map(tuple, token_files.read_token_files(spark, out).collect()), key=lambda r: r[1])
+    assert {(r[0], r[2], r[3]) for r in mixed} == by_id and [r[0] for r in mixed] != [r[0] for r in got]
+    assert [r[1] for r in mixed] == np.append(0, np.cumsum([r[2] for r in mixed])[:-1]).tolist()
+    assert token_files.ids_of(spark, out, None, shuffled=True) == tk.encode("no id", add_special_tokens=False).ids + [2]
+    assert token_files.ids_of(spark, out, 5, 1, shuffled=True) is not None and token_files.ids_of(spark, out, 123_456, shuffled=True) is None
     token_files.write_token_files(df.limit(0), out, path, 2)
     assert token_files.read_token_files(spark, out).count() == 0
 

@@ -1,11 +1,12 @@
 """Operator 5: token ids in binary shards with a minimal perfect hash index.
 
-File format: a Parquet table of segments in ascending key order. A segment's ``ids`` are
+File format: a Parquet table of segments in ascending key order, or, shuffled, in the
+order of the keys' hashes, which interleaves sources. A segment's ``ids`` are
 the raw little-endian unsigned 32-bit ids of its documents, one after the other; its
 ``index`` is a minimal perfect hash over its keys (compress, hash, displace): for every
 slot the key's 32-bit fingerprint, the first id and the number of ids. Looking a key up
-takes two array reads in the segment whose key range holds it (the ranges are columns,
-so readers skip other segments by Parquet's statistics); the fingerprint turns absent
+takes two array reads in the segment whose range of keys (or hashes) holds it (the ranges
+are columns, so readers skip other segments by Parquet's statistics); the fingerprint turns absent
 keys down. ``keys`` lists the keys in order for sequential reads.
 
 A document's key is its doc_id and, for the second and later rows with that doc_id, a
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, U, lower_ascii, mix, same_strings, slices, small_batches, string_hash, utf8_text
@@ -317,15 +318,22 @@ def look_up(index: bytes, keys: np.ndarray, copies: np.ndarray) -> tuple[np.ndar
 NULL_KEY = -(1 << 63)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def place(key: Column, shuffled: bool) -> Column:
+    """What files are ordered by: the key (null first) or its hash."""
+    return F.xxhash64(key) if shuffled else F.coalesce(key, F.lit(NULL_KEY))
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, shuffled: bool = False) -> None:
     """Encode ``docs(doc_id, text)`` and write segments to ``path`` in ascending doc_id
-    order (null first; rows with equal doc_id by text). Null texts count as empty and have
-    the end id alone. Other columns are not read. An empty table gives no segments."""
+    order (null first; rows with equal doc_id by text), or ``shuffled`` by the doc_id's hash.
+    Null texts count as empty and have the end id alone. Other columns are not read. An
+    empty table gives no segments."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, end_id)
         part = TaskContext.get().partitionId()
         keys: list[int] = []
+        places: list[int] = []
         copies: list[int] = []
         blobs: list[bytes] = []
         count = start = segment = 0
@@ -334,7 +342,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
         def flush() -> pa.RecordBatch:
             k, c = np.array(keys, np.int64), np.array(copies, np.int64)
             size = np.array([len(b) // 4 for b in blobs], np.int64)
-            row = [part, segment, keys[0], keys[-1], len(keys), count, start, k.astype("<i8").tobytes() + c.astype("<u4").tobytes(), b"".join(blobs), build_index(k, c, np.cumsum(size) - size, size)]
+            row = [part, segment, places[0], places[-1], len(keys), count, start, k.astype("<i8").tobytes() + c.astype("<u4").tobytes(), b"".join(blobs), build_index(k, c, np.cumsum(size) - size, size)]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
 
@@ -342,24 +350,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
             for rows, data, offs in slices(batch):
                 ids, many = coder.ids(data, offs)
                 ids, cut = memoryview(ids.tobytes()), np.append(0, np.cumsum(many) * 4).tolist()
-                for key, a, b in zip(rows.column(0).to_pylist(), cut[:-1], cut[1:], strict=True):
+                for key, at, a, b in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), cut[:-1], cut[1:], strict=True):
                     blob = ids[a:b]
                     key = NULL_KEY if key is None else key
                     copy = last[1] + 1 if last and last[0] == key else 0
                     last = key, copy
                     keys.append(key)
+                    places.append(at)
                     copies.append(copy)
                     blobs.append(blob)
                     count += len(blob) // 4
                     if count >= SEGMENT_IDS:
                         yield flush()
                         start, segment, count = start + count, segment + 1, 0
-                        keys, copies, blobs = [], [], []
+                        keys, places, copies, blobs = [], [], [], []
         if keys:
             yield flush()
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8_text())
-    ordered = text.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    key = F.col("doc_id").cast("long")
+    text = docs.select(key.alias("doc_id"), utf8_text(), place(key, shuffled).alias("place"))
+    ordered = text.repartitionByRange("place").sortWithinPartitions("place", F.col("doc_id").asc_nulls_first(), "text")
     with small_batches(docs.sparkSession):
         ordered.mapInArrow(pack, SEGMENTS).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
@@ -390,10 +400,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def ids_of(spark: SparkSession, path: str, doc_id: int | None, copy: int = 0) -> list[int] | None:
+def ids_of(spark: SparkSession, path: str, doc_id: int | None, copy: int = 0, shuffled: bool = False) -> list[int] | None:
     """The ids of one document by key, or None; reads only the segments whose range holds it."""
     key = NULL_KEY if doc_id is None else doc_id
-    for row in segments(spark, path).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("ids", "index").toLocalIterator():
+    at = place(F.lit(doc_id).cast("long"), shuffled)
+    for row in segments(spark, path).where((F.col("first_key") <= at) & (F.col("last_key") >= at)).select("ids", "index").toLocalIterator():
         first, count = look_up(bytes(row["index"]), np.array([key]), np.array([copy]))
         if first[0] >= 0:
             return np.frombuffer(row["ids"], "<u4", int(count[0]), 4 * int(first[0])).tolist()
