@@ -16,34 +16,62 @@ from tidemark.llm.common import Scratch
 from tidemark.llm.queries import END_ID, table, tokenizer_path
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, by which stages decide: the doc_id where one row alone has it,
+    else (null and repeated ids) a hash of the whole row, above all usual ids. Rows that
+    agree in all columns have one ``row``; ``shared`` tells rows with a hash."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    if shared.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long")).withColumn("shared", F.lit(False))
+    own = (F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("row")
+    flagged = docs.alias("d").join(shared.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
+    plain = docs.alias("d").join(shared.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_anti")
+    return plain.withColumn("row", F.col("doc_id").cast("long")).withColumn("shared", F.lit(False)).unionByName(flagged.select("*", own).withColumn("shared", F.lit(True)))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scores.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that the quality classifier does not reject. Every row is judged by its own
+    text, also where ids are null or repeated (labels of such ids are not used)."""
+    rows = with_rows(docs)
+    scores = quality.quality_scores(by_row(rows), table(spark, sf_dir, "labels"))
+    bad = scores.where("predicted = 0").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(bad, "row", "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    groups = near_dup.near_duplicates(docs)
-    return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id, or,
+    if the group has only null and repeated ids, one row of it. Of rows that agree in all
+    columns one stays."""
+    rows = with_rows(docs)
+    groups = near_dup.near_duplicates(by_row(rows))
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("row")).distinct()
+    left = rows.join(gone, "row", "left_anti")
+    return left.where("not shared").unionByName(left.where("shared").dropDuplicates(["row"])).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = contamination.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that contain no benchmark item. Every row is judged by its own text, also
+    where ids are null or repeated."""
+    rows = with_rows(docs)
+    found = contamination.leaks(by_row(rows), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: a row for every document and pass in which words of it
-    are drawn, with those words."""
+    """The mix to target weights: a row for every document and pass over its source in which
+    words of it are drawn, with those words. Null and repeated ids are drawn like others."""
     return mixing.mixed_documents(docs)
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: a row for each row of the mix."""
+    """Token files of the mix in a pseudorandom order of its documents, so that every file
+    holds all sources, read back: a row for each row of the mix, null ids included."""
     path = f"{Scratch(spark, 'pipeline-tokens').root}/ids"
-    token_files.write_token_files(docs, path, tokenizer_path(), END_ID)
+    token_files.write_token_files(docs, path, tokenizer_path(), END_ID, shuffled=True)
     return token_files.read_token_files(spark, path)
 
 
