@@ -2,19 +2,19 @@
 
 Containment of a small item in a large document is not a Jaccard problem: the MinHash
 of the document says next to nothing about thirty of its twenty thousand shingles. The
-sketch is therefore taken of the small side only (containment MinHash): the ``k``
+sketch is therefore taken of the small side only (containment MinHash): the ``SAMPLE``
 smallest hash values of an item are a uniform sample without replacement of its
 shingles, and the share of them that the document's set holds estimates the containment
-however long the document is. Items are partitioned by size (powers of two); each
-partition has its own sample size, the number of sample hits from which a document is a
-candidate, and the least document size that can reach the threshold, so that documents
-are compared with the partitions that they can contain. Candidates are verified on the
-full shingle sets.
-
-The items are a stated query set. They are read in blocks of at most ``BLOCK`` shingles
-(a bound on what is sent to executors); every block is compared with all documents in
-one scan without any shuffle, and a document and a block are compared by a merge of
-sorted hashes.
+however long the document is. The index holds the samples alone. Items are partitioned by
+size (powers of two); a partition has the number of sample hits from which a document is
+a candidate and the least size of a document that can hold one of its items, so a document
+is compared only with the partitions that it can contain. Candidates are verified on the
+item's full set, by hashes independent of those in the index.
+
+The items are a stated query set. They are read in blocks of about ``BLOCK`` shingles
+(a bound on what is sent to executors), one block after the other: each is compared with
+all documents in one scan without any shuffle and freed before the next is read. An item is
+never cut, so one with more shingles than ``BLOCK`` makes a block of its own size.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_long, list_array, mix, row_bounds, slices, text_shingles, utf8_text
+from .common import Scratch, U, as_long, list_array, mix, row_bounds, slices, text_shingles, utf8_text
 
-#: Shingles of items held by an executor at a time: 32 MB with their item numbers.
+#: Shingles of items held by an executor at a time: 16 MB of full sets, and their samples.
 BLOCK = 2_000_000
 #: MinHash samples of an item: all shingles of items with up to this many.
 SAMPLE = 32
@@ -54,57 +55,68 @@ def least_hits(k: int, size: int, containment: float) -> int:
 
 
 class Block:
-    """Items of a block, by size partition."""
+    """A block of items: an index of their samples in size partitions, and their full sets."""
 
-    def __init__(self, ids: list[int | None], sets: list[np.ndarray], containment: float):
+    def __init__(self, ids: list[int | None], samples: list[np.ndarray], sets: list[np.ndarray], containment: float):
         self.ids = pa.array(ids, pa.int64())
         self.size = np.array([len(s) for s in sets], np.int64)
         self.need = np.array([ceil(containment * len(s) - 1e-9) for s in sets], np.int64)
-        item = np.repeat(np.arange(len(sets)), self.size)
-        values = np.concatenate(sets) if sets else np.zeros(0, U)
-        rank = np.concatenate([np.argsort(np.argsort(mix(s))) for s in sets]) if sets else np.zeros(0, np.int64)
+        self.sets = [np.sort(s) for s in sets]  # by the second hash
+        kept = [s[np.argsort(mix(s))[:SAMPLE]] for s in samples]  # the smallest values of another hash
+        item = np.repeat(np.arange(len(kept)), [len(s) for s in kept])
+        values = np.concatenate(kept) if kept else np.zeros(0, U)
         order = np.argsort(values, kind="stable")
-        self.values, self.item, self.sample = values[order], item[order], rank[order] < SAMPLE
-        self.keys, first = np.unique(self.values, return_index=True)
-        self.first = np.append(first, len(self.values))
-        part = np.frompyfunc(lambda n: int(n).bit_length(), 1, 1)(self.size).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
-        self.least = np.zeros(len(sets), np.int64)
-        for p in np.unique(part):  # per partition: sample size and hits from its smallest item
-            mine = np.flatnonzero(part == p)
-            for n in np.unique(self.size[mine]):
-                self.least[mine[self.size[mine] == n]] = least_hits(min(SAMPLE, int(n)), int(n), containment)
-        self.smallest = int(self.need.min()) if len(sets) else 0
-
-    def search(self, sh: np.ndarray, of: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row, item, shared shingles) of what is contained; sh: the rows' distinct shingles."""
+        self.item = item[order]
+        self.keys, first = np.unique(values[order], return_index=True)
+        self.first = np.append(first, len(values))
+        #: By item: its partition; by partition: hits that make a candidate, least size of a document.
+        part = np.array([int(n).bit_length() for n in self.size], np.int64)
+        self.hits, self.least = np.zeros(65, np.int64), np.zeros(65, np.int64)
+        for p in np.unique(part):
+            sizes = np.unique(self.size[part == p])
+            self.hits[p] = min(least_hits(min(SAMPLE, int(n)), int(n), containment) for n in sizes)
+            self.least[p] = ceil(containment * int(sizes[0]) - 1e-9)
+        self.part = part
+
+    def search(self, sh: np.ndarray, full: np.ndarray, of: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, item, shared shingles) of what is contained; sh and full: the rows' distinct
+        shingles by the index's hash and by that of the full sets."""
         if not len(self.keys) or not len(sh):
             return
         at = np.searchsorted(self.keys, sh)
         at[at == len(self.keys)] = 0
         hit = np.flatnonzero(self.keys[at] == sh)
-        size = np.bincount(of, minlength=n_rows)
-        hit = hit[size[of[hit]] >= self.smallest]
         if not len(hit):
             return
+        bounds = row_bounds(of, n_rows)
+        size = bounds[1:] - bounds[:-1]
         k = at[hit]
         many = self.first[k + 1] - self.first[k]
-        of_hit = np.repeat(of[hit], many)
-        where = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        pair = of_hit * len(self.ids) + self.item[where]
-        cand, inv = np.unique(pair, return_inverse=True)
-        sampled = np.bincount(inv, self.sample[where], len(cand))
-        item = cand % len(self.ids)
-        ok = (sampled >= self.least[item]) & (size[cand // len(self.ids)] >= self.need[item])
-        common = np.bincount(inv, minlength=len(cand))  # exact: the block holds the items' full sets
-        ok &= common >= self.need[item]
-        yield cand[ok] // len(self.ids), item[ok], common[ok]
+        row = np.repeat(of[hit], many)
+        item = self.item[np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        fits = size[row] >= self.least[self.part[item]]
+        cand, hits = np.unique(row[fits] * len(self.size) + item[fits], return_counts=True)
+        row, item = cand // len(self.size), cand % len(self.size)
+        likely = (hits >= self.hits[self.part[item]]) & (size[row] >= self.need[item])
+        row, item = row[likely], item[likely]
+        common = np.zeros(len(row), np.int64)
+        new = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+        for a, b in zip(new, np.append(new[1:], len(row)) if len(row) else [], strict=True):
+            own = np.sort(full[bounds[row[a]] : bounds[row[a] + 1]])
+            for i in range(a, b):
+                want = self.sets[item[i]]
+                place = np.minimum(np.searchsorted(own, want), len(own) - 1)
+                common[i] = np.count_nonzero(own[place] == want)
+        ok = common >= self.need[item]
+        yield row[ok], item[ok], common[ok]
 
 
 def item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offs in slices(batch):
-            sh, of = text_shingles(data, offs)
-            yield pa.record_batch([rows.column(0), list_array(as_long(sh), row_bounds(of, rows.num_rows))], names=["item_id", "items"])
+            sh, full, of = text_shingles(data, offs, (0, 1))
+            at = row_bounds(of, rows.num_rows)
+            yield pa.record_batch([rows.column(0), list_array(as_long(sh), at), list_array(as_long(full), at)], names=["item_id", "sample", "items"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
@@ -118,22 +130,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame
     with the same text each. Null ids are reported as null. Other columns are not read."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8_text())
-    sets = items.mapInArrow(item_sets, "item_id long, items array<long>").where(F.size("items") > 0)
-    total = sets.agg(F.sum(F.size("items")), F.max(F.size("items"))).first()
+    sets = items.mapInArrow(item_sets, "item_id long, sample array<long>, items array<long>").where(F.size("items") > 0)
+    total = sets.agg(F.sum(F.size("items"))).first()[0] or 0
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8_text())
-    n_blocks = ceil((total[0] or 0) / (BLOCK / 2)) or 1
-    found = []
-    for b in range(n_blocks):
+    n_blocks = ceil(total / (BLOCK / 2)) or 1
+
+    def compared(b: int) -> tuple[DataFrame, Broadcast]:
         mine = sets if n_blocks == 1 else sets.where(F.pmod(F.xxhash64("items"), F.lit(n_blocks)) == b)
         rows = mine.collect()  # at most about BLOCK shingles: see n_blocks
-        block = spark.sparkContext.broadcast(Block([r[0] for r in rows], [np.array(r[1], np.int64).view(U) for r in rows], percent / 100))
+        longs = lambda c: [np.array(r[c], np.int64).view(U) for r in rows]
+        block = spark.sparkContext.broadcast(Block([r[0] for r in rows], longs(1), longs(2), percent / 100))
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offs in slices(batch):
-                    sh, of = text_shingles(data, offs)
-                    for row, item, common in block.value.search(sh, of, part.num_rows):
-                        yield pa.record_batch([part.column(0).take(pa.array(row)), block.value.ids.take(pa.array(item)), pa.array(common.astype(np.int64)), pa.array(block.value.size[item])], names=["doc_id", "item_id", "n_common", "n_item"])
-
-        found.append(text.mapInArrow(scan, PAIRS))
+                    sh, full, of = text_shingles(data, offs, (0, 1))
+                    for row, item, common in block.value.search(sh, full, of, part.num_rows):
+                        yield pa.record_batch([part.column(0).take(pa.array(row)), block.value.ids.take(pa.array(item)), pa.array(common), pa.array(block.value.size[item])], names=["doc_id", "item_id", "n_common", "n_item"])
+
+        return text.mapInArrow(scan, PAIRS), block
+
+    if n_blocks == 1:
+        found = [compared(0)[0]]
+    else:
+        scratch, found = Scratch(spark, "leaks"), []
+        for b in range(n_blocks):
+            df, block = compared(b)
+            found.append(scratch.table(df, f"block-{b}"))
+            block.destroy()
     return reduce(DataFrame.unionAll, found).withColumn("containment", F.col("n_common") / F.col("n_item"))

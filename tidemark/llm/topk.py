@@ -4,12 +4,14 @@ Rows are taken in blocks. For a block every dimension has its list of rows, sort
 value; a query reads each list sequentially from its own end (from the top where its
 component is positive, from the bottom where it is negative), all lists to the same
 depth. What has been read of a row gives, with the lists' current and last entries for
-the rest, an upper and a lower bound of its score. Reading stops when at least k rows
-are candidates and no outsider's upper bound reaches the k-th lower bound; the
-candidates' scores are then resolved exactly. The k-th best score so far carries over
-to the task's next block. Blocks' answers are merged by a ranking per query.
-
-Queries are a stated set; they are sent in blocks of at most ``QUERIES`` vectors.
+the rest, an upper and a lower bound of its score; no list is read anywhere else. Reading
+goes on until few rows' upper bounds still reach the k-th lower bound (``LEFT`` for each
+wanted one), however deep that is; the scores of these are then resolved exactly. The
+k-th best score so far carries over to the task's next block. Blocks' answers are merged
+by a ranking per query.
+
+Queries are a stated set; they are sent in blocks of at most ``QUERIES`` vectors, one
+block after the other, each freed before the next.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Vectors of a row block, and of a block of queries (bounded by what executors hold at a time).
 ROWS, QUERIES = 8192, 20_000
-#: Shares of a list that are read before bounds are compared.
-DEPTHS = (0.04, 0.12, 0.3)
+#: Depths of the lists, as shares, at which bounds are compared; candidates for each wanted row at which reading stops.
+DEPTHS = (0.04, 0.12, 0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+LEFT = 8
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -74,35 +80,28 @@ class Lists:
         n = len(self.ids)
         others = self.ids != query
         rows = np.flatnonzero(others)
-        if float(np.abs(q).max(initial=0.0)) * self.biggest * max(1, len(q)) >= 2**52:  # doubles do not hold such scores
+        if float(np.abs(q).max(initial=0.0)) * self.biggest * max(1, len(q)) >= 2**52:  # doubles do not hold such scores: read all
             return rows, (self.x[rows].astype(np.int64) * q.astype(np.int64)).sum(1)
         dims = [np.flatnonzero(q > 0), np.flatnonzero(q < 0)]
         weight = np.concatenate([q[d] for d in dims])
         entry = lambda i: weight * np.concatenate([self.values[k][i, d] for k, d in enumerate(dims)])
         last = entry(n - 1)  # the least that a list can contribute
         low = np.full(n, last.sum())
+        seen = np.zeros((n, len(weight)), bool)
         at = 0
-        for share in DEPTHS:
+        for share in DEPTHS if len(weight) else ():
             end = ceil(share * n)
-            if end >= n or end <= at or not len(weight):
-                break
-            new = np.concatenate([self.rows[k][at:end, d] for k, d in enumerate(dims)], axis=1)
-            gain = np.concatenate([self.values[k][at:end, d] for k, d in enumerate(dims)], axis=1) * weight - last
+            if end <= at or len(rows) <= LEFT * k:
+                continue
+            new = np.concatenate([self.rows[i][at:end, d] for i, d in enumerate(dims)], axis=1)
+            gain = np.concatenate([self.values[i][at:end, d] for i, d in enumerate(dims)], axis=1) * weight - last
             low += np.bincount(new.ravel(), gain.ravel(), n)
-            read = np.concatenate([self.rows[k][:end, d] for k, d in enumerate(dims)], axis=1)
-            more = entry(end - 1) - last  # what an unread list may still add
-            high = low + more.sum() - np.bincount(read.ravel(), np.broadcast_to(more, read.shape).ravel(), n)
+            seen[new, np.arange(len(weight))] = True
             at = end
-            kth = floor
-            if len(rows) >= k:
-                kth = max(kth, np.partition(low[others], len(rows) - k)[len(rows) - k])
-                likely = rows[np.argpartition(-high[rows], min(len(rows) - 1, 4 * k))[: 4 * k]]
-                kth = max(kth, np.sort(self.x[likely] @ q)[-k])  # any k rows' scores bound the k-th best from below
-            alive = rows[high[rows] >= kth]
-            if len(alive) <= max(64, n // 32):
-                rows = alive
-                break
-            rows = alive if len(alive) >= k else rows
+            more = entry(end - 1) - last  # what an unread list may still add
+            kth = max(floor, np.partition(low[rows], len(rows) - k)[len(rows) - k]) if len(rows) >= k else floor
+            high = low[rows] + more.sum() - seen[rows] @ more
+            rows = rows[high >= kth]
         return rows, (self.x[rows] @ q).astype(np.int64)
 
 
@@ -126,13 +125,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_blocks = ceil(asked.count() / (QUERIES / 2)) or 1
-    found = []
-    for b in range(n_blocks):
+
+    def compared(b: int) -> tuple[DataFrame, Broadcast]:
         mine = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)
         ids, qs = quantised(mine.toArrow())  # at most about QUERIES vectors: see n_blocks
         block = spark.sparkContext.broadcast((ids, matrix(qs, max((len(q) for q in qs), default=0))))
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = block.value
             held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids)
 
@@ -160,7 +159,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             if sum(size):
                 yield pa.record_batch([pa.array(np.repeat(qids, size)), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(scan, FOUND))
+        return rows.mapInArrow(scan, FOUND), block
+
+    if n_blocks == 1:
+        found = [compared(0)[0]]
+    else:
+        scratch, found = Scratch(spark, "top-k"), []
+        for b in range(n_blocks):
+            df, block = compared(b)
+            found.append(scratch.table(df, f"block-{b}"))
+            block.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
