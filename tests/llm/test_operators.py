@@ -104,6 +104,7 @@ def test_near_duplicates(spark, corpus, frame):
 def test_near_duplicates_pivot_turns(spark, monkeypatch):
     """A large group whose members are alike at the threshold: further turns and the full comparison."""
     monkeypatch.setattr(near_dup, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(near_dup, "CHUNK", 7)
     rng = random.Random(2)
     w = prose(rng, 120).split()
     docs = []

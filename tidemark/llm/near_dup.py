@@ -35,6 +35,8 @@ SLACK = 4.0
 #: Nodes are compared with pivots, in a sixth of the buckets each turn, until what is left between different components
 #: is at most so many pairs for each node in a bucket, or pivots hardly link any more; that is then compared in full.
 PARTS, PAIRS_A_ROW, MOST_TURNS = 6, 16, 8
+#: Rows of a bucket that a task compares with the whole bucket.
+CHUNK = 2_000
 #: Ids of nodes to confirm that are sent to all executors (8 MB) so that texts need not move; more are joined.
 BROADCAST_IDS = 500_000
 
@@ -110,24 +112,32 @@ class Checker:
         self.turn = self.pairs = 0
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """(u, v) of the (node, pivot) pairs that sizes and sketches leave possible."""
-        pairs = pairs.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+        """The (node, pivot) pairs that sizes and sketches leave possible. Nodes are looked up
+        first: rows are wide when they meet at their pivots, so AQE splits a pivot of very many."""
+        pairs = pairs.where("node <> pivot").select("node", "pivot").distinct()
         a, b = self.facts.alias("a"), self.facts.alias("b")
-        return pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(reaches("a", "b", self.percent)).select("u", "v")
+        wide = pairs.join(a, "node").select(F.col("node").alias("u"), "pivot", "a.n_shingles", "a.sketch").alias("a")
+        return wide.join(b, F.col("pivot") == F.col("b.node")).where(reaches("a", "b", self.percent)).select(F.col("u").alias("node"), "pivot")
 
     def apart(self, here: DataFrame) -> DataFrame:
         """(u, v): all links between different components of a bucket.
 
         Sets go only to rows that have any possible partner; the exact test is part of the
-        join, so pairs that are no links are compared but never rows."""
+        join, so pairs that are no links are compared but never rows. A bucket's rows are
+        split into chunks, each compared with the whole bucket in a task of its own."""
         t = self.turn = self.turn + 1
-        here = here.select("bucket", "node", "component").join(self.facts, "node")
-        a, b = here.alias("a"), here.alias("b")
-        may = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & reaches("a", "b", self.percent)
-        some = self.scratch.table(a.join(b, may, "left_semi"), f"likely-{t}")
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        here = here.select("bucket", "node", "component", "n").join(self.facts, "node")
+
+        def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+            part = df.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+            return part.alias("a"), df.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).alias("b")
+
+        a, b = sides(here)
+        may = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.component") != F.col("b.component")) & reaches("a", "b", self.percent)
+        some = self.scratch.table(a.join(b, may, "left_semi").drop("chunk"), f"likely-{t}")
         self.read_sets(some.select("node").distinct(), t)
-        some = some.join(self.sets, "node")
-        a, b = some.alias("a"), some.alias("b")
+        a, b = sides(some.join(self.sets, "node"))
         common = F.size(F.array_intersect("a.items", "b.items")).cast("long")
         exact = 100 * common >= self.percent * (F.size("a.items") + F.size("b.items") - common)
         found = a.join(b, may & (F.col("a.node") < F.col("b.node")) & exact).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
@@ -145,14 +155,15 @@ class Checker:
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold."""
+        """(u, v): the (node, pivot) pairs whose full sets reach the threshold. Rows hold the
+        node's set when they meet at their pivots (see ``likely``)."""
         t = self.turn = self.turn + 1
         seen = Observation()
         pairs = self.scratch.table(pairs.observe(seen, F.count(F.lit(1)).alias("n")), f"pairs-{t}")
         self.pairs = seen.get["n"]
-        self.read_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), t)
-        both = pairs.join(self.sets.toDF("u", "items_u"), "u").join(self.sets.toDF("v", "items_v"), "v")
-        both = both.select("u", "v", F.size(F.array_intersect("items_u", "items_v")).cast("long").alias("i"), (F.size("items_u") + F.size("items_v")).cast("long").alias("s"))
+        self.read_sets(pairs.select("node").union(pairs.select("pivot")).distinct(), t)
+        both = pairs.join(self.sets.toDF("node", "items"), "node").join(self.sets.toDF("pivot", "items_p"), "pivot")
+        both = both.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), F.size(F.array_intersect("items", "items_p")).cast("long").alias("i"), (F.size("items") + F.size("items_p")).cast("long").alias("s"))
         return self.scratch.table(both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).select("u", "v"), f"links-{t}")
 
     def merge(self, links: DataFrame, labels: DataFrame | None) -> DataFrame:
