@@ -203,6 +203,29 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licenses_by_brute_force(spark):
+    """Random texts of phrases' words: places of the phrases by comparing words one by one."""
+    rng = random.Random(16)
+    bits = ["under", "The", "mit", "MIT", "license", "apache", "Apache License", "version", "2", "2.0", "cc", "by", "nc", "CC-BY-NC", "é", "x", "under the MIT license", "apache license, version 2"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "\n", "-", ". "]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(texts[r.doc_id]))
+        places = sorted((i, k) for k, p in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        want = (len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({k for _, k in places})))
+        assert tuple(r)[1:6] == want and set(want[4].split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_license_parts_and_long_texts(spark):
+    """Later parts of a licence are found too, and its text inside a very long one."""
+    whole = licenses.TEXTS["mit-text"]
+    late = whole[whole.index("THE SOFTWARE IS") :]
+    rng = random.Random(17)
+    texts = [late, f"{prose(rng, 100_000)} {licenses.TEXTS['bsd-3-text']} {prose(rng, 100_000)}", *licenses.TEXTS.values()]
+    got = [r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    assert "mit-text" in got[0].labels.split(",") and "bsd-3-text" in got[1].labels.split(",") and got[1].score == 1
+    assert all(name in r.labels.split(",") and r.score == 1 for name, r in zip(licenses.TEXTS, got[2:], strict=True))
+
+
 def test_matching_statistics():
     """The automaton's state length is the longest suffix that occurs in any sequence."""
     rng = random.Random(3)
