@@ -78,9 +78,11 @@ class Block:
             self.least[p] = ceil(containment * int(sizes[0]) - 1e-9)
         self.part = part
 
-    def search(self, sh: np.ndarray, full: np.ndarray, of: np.ndarray, n_rows: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row, item, shared shingles) of what is contained; sh and full: the rows' distinct
-        shingles by the index's hash and by that of the full sets."""
+    def search(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, item, shared shingles) of what is contained in a slice of texts; only texts
+        with a candidate are hashed a second time."""
+        n_rows = len(offs) - 1
+        sh, of = text_shingles(data, offs)
         if not len(self.keys) or not len(sh):
             return
         at = np.searchsorted(self.keys, sh)
@@ -102,7 +104,8 @@ class Block:
         common = np.zeros(len(row), np.int64)
         new = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
         for a, b in zip(new, np.append(new[1:], len(row)) if len(row) else [], strict=True):
-            own = np.sort(full[bounds[row[a]] : bounds[row[a] + 1]])
+            x, y = offs[row[a]], offs[row[a] + 1]
+            own = text_shingles(data[x:y], np.array([0, y - x]), (1,))[0]
             for i in range(a, b):
                 want = self.sets[item[i]]
                 place = np.minimum(np.searchsorted(own, want), len(own) - 1)
@@ -144,8 +147,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offs in slices(batch):
-                    sh, full, of = text_shingles(data, offs, (0, 1))
-                    for row, item, common in block.value.search(sh, full, of, part.num_rows):
+                    for row, item, common in block.value.search(data, offs):
                         yield pa.record_batch([part.column(0).take(pa.array(row)), block.value.ids.take(pa.array(item)), pa.array(common), pa.array(block.value.size[item])], names=["doc_id", "item_id", "n_common", "n_item"])
 
         return text.mapInArrow(scan, PAIRS), block
