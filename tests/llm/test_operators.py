@@ -409,6 +409,7 @@ def test_encoder_with_colliding_hashes(monkeypatch, corpus):
 
     tk, real = Tokenizer.from_file(tokenizer_path()), token_files.string_hash
     monkeypatch.setattr(token_files, "string_hash", lambda *x: real(*x) & np.uint64(15))
+    monkeypatch.setattr(token_files, "EXACT", 0)  # holds for the real hash only
     coder = token_files.Encoder(tokenizer_path(), 2)
     texts = [t or "" for _, t in corpus]
     for part in (texts[:40], texts[40:], texts[:60]):

@@ -174,6 +174,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Strings up to so many bytes are hashed together, eight bytes a turn; longer ones one by one.
 LONG = 96
+#: Strings of one length up to this are equal if their hashes are.
+EXACT = 8
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
@@ -186,7 +188,7 @@ def lanes(data: np.ndarray) -> np.ndarray:
 
 def string_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the bytes s..e. Every eight bytes go through a non-linear bijection
-    of the state (strings of up to eight bytes and one length never collide); strings over
+    of the state (strings of one length up to ``EXACT`` bytes never collide); strings over
     ``LONG`` bytes go through XXH3. Hashes of different seeds are independent."""
     n = e - s
     h = mix(n.astype(U) * U(BASE) + U(seed + 1))
@@ -204,7 +206,8 @@ def string_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -
 def same_strings(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether the n bytes of ``a`` from s are the n bytes of ``b`` from t, for each n."""
     same = np.ones(len(n), bool)
-    x, y, here = lanes(a), lanes(b), np.flatnonzero((n > 0) & (n <= LONG))
+    x, here = lanes(a), np.flatnonzero((n > 0) & (n <= LONG))
+    y = x if b is a else lanes(b)
     p, q, left = s[here], t[here], n[here]
     while len(here):
         mask = _MASKS[np.minimum(left, 8)]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, lower_ascii, mix, same_strings, slices, small_batches, string_hash, utf8_text
+from .common import BASE, EXACT, U, lower_ascii, mix, same_strings, slices, small_batches, string_hash, utf8_text
 
 #: Ids of a segment, from which the next one begins (1 MB); a longer document has one alone.
 SEGMENT_IDS = 250_000
@@ -122,7 +122,9 @@ class Encoder:
         s, e, row, low, letters = self.pieces(data, offs)
         h, first, inverse = np.unique(string_hash(low, s, e), return_index=True, return_inverse=True)
         size, model = e - s, first[inverse]
-        odd = (size != size[model]) | ~same_strings(low, s, low, s[model], np.minimum(size, size[model]))
+        odd = size != size[model]
+        doubt = np.flatnonzero(~odd & (size > EXACT))
+        odd[doubt] = ~same_strings(low, s[doubt], low, s[model[doubt]], size[doubt])
         if odd.any():  # pieces that share a hash with another one: each gets a number of its own
             at = np.flatnonzero(odd)
             number: dict[bytes, int] = {}
@@ -209,7 +211,11 @@ def _found(memory: tuple[np.ndarray, ...], h: np.ndarray, low: np.ndarray, a: np
     there = memory[3][at[hit]]
     size = (b - a)[hit]
     same = memory[3][at[hit] + 1] - there == size
-    same[same] = same_strings(low, a[hit][same], memory[4], there[same], size[same])
+    doubt = np.flatnonzero(same & (size > EXACT))
+    if len(doubt):
+        n = size[doubt]
+        begin = np.cumsum(n) - n
+        same[doubt] = np.logical_and.reduceat(low[_ranges(a[hit][doubt], n)] == memory[4][_ranges(there[doubt], n)], begin)
     out, clash = np.full(len(h), -1), np.zeros(len(h), bool)
     out[hit[same]], clash[hit[~same]] = at[hit[same]], True
     return out, clash
