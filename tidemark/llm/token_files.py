@@ -138,7 +138,7 @@ class Encoder:
         size = np.zeros(len(h), np.int64)
         for memory, (at, _) in zip(self.memory[::-1], places[::-1], strict=True):
             has = at >= 0
-            size[has] = memory[1][at[has] + 1] - memory[1][at[has]]
+            size[has] = memory[2][at[has]]
         new = np.flatnonzero(np.maximum.reduce([at for at, _ in places]) < 0)
         raw = low.tobytes()
         fresh = self._encoded([raw[i:j] for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)], letters[b[new]] - letters[a[new]] == b[new] - a[new])
@@ -147,11 +147,12 @@ class Encoder:
         pool = np.empty(bounds[-1], "<u4")
         for memory, (at, _) in zip(self.memory[::-1], places[::-1], strict=True):
             has = np.flatnonzero(at >= 0)
-            pool[_ranges(bounds[has], size[has])] = memory[2][_ranges(memory[1][at[has]], size[has])]
+            pool[_ranges(bounds[has], size[has])] = memory[3][_ranges(memory[1][at[has]], size[has])]
         if len(new):
             pool[_ranges(bounds[new], size[new])] = np.fromiter((t for x in fresh for t in x), np.uint32)
         late = np.flatnonzero((np.maximum(places[0][0], places[1][0]) < 0) & known & ~places[0][1] & ~places[1][1])
-        self._remember((h[late], np.append(0, np.cumsum(size[late])), pool[_ranges(bounds[late], size[late])], np.append(0, np.cumsum(b[late] - a[late])), low[_ranges(a[late], b[late] - a[late])]))
+        n_ids, n_bytes = size[late], b[late] - a[late]
+        self._remember((h[late], np.cumsum(n_ids) - n_ids, n_ids, pool[_ranges(bounds[late], n_ids)], np.cumsum(n_bytes) - n_bytes, n_bytes, low[_ranges(a[late], n_bytes)]))
         many = size[inverse]
         per = np.bincount(row, many, n).astype(np.int64)
         out = np.full(per.sum() + n, self.end, "<u4")
@@ -189,8 +190,9 @@ class Encoder:
         self.memory = [new, young, old]
 
 
-#: Remembered pieces in order of hash: hashes, bounds and ids, bounds and bytes.
-NOTHING = (np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.uint8))
+#: Remembered pieces in order of hash: hashes; starts, numbers and a pool of ids; the same of bytes.
+_none = np.zeros(0, np.int64)
+NOTHING = (np.zeros(0, U), _none, _none, np.zeros(0, "<u4"), _none, _none, np.zeros(0, np.uint8))
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -208,27 +210,23 @@ def _found(memory: tuple[np.ndarray, ...], h: np.ndarray, low: np.ndarray, a: np
         return np.full(len(h), -1), np.zeros(len(h), bool)
     at = np.minimum(np.searchsorted(memory[0], h), len(memory[0]) - 1)
     hit = np.flatnonzero((memory[0][at] == h) & known)
-    there = memory[3][at[hit]]
-    size = (b - a)[hit]
-    same = memory[3][at[hit] + 1] - there == size
+    there, size = memory[4][at[hit]], (b - a)[hit]
+    same = memory[5][at[hit]] == size
     doubt = np.flatnonzero(same & (size > EXACT))
     if len(doubt):
         n = size[doubt]
-        begin = np.cumsum(n) - n
-        same[doubt] = np.logical_and.reduceat(low[_ranges(a[hit][doubt], n)] == memory[4][_ranges(there[doubt], n)], begin)
+        same[doubt] = np.logical_and.reduceat(low[_ranges(a[hit][doubt], n)] == memory[6][_ranges(there[doubt], n)], np.cumsum(n) - n)
     out, clash = np.full(len(h), -1), np.zeros(len(h), bool)
     out[hit[same]], clash[hit[~same]] = at[hit[same]], True
     return out, clash
 
 
 def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Two sorted tables of remembered pieces as one."""
+    """Two sorted tables of remembered pieces as one; pools are only appended."""
     order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
     out = [np.concatenate([a[0], b[0]])[order]]
-    for bounds, values in ((1, 2), (3, 4)):
-        sizes = np.concatenate([np.diff(a[bounds]), np.diff(b[bounds])])
-        starts = np.concatenate([a[bounds][:-1], len(a[values]) + b[bounds][:-1]])
-        out += [np.append(0, np.cumsum(sizes[order])), np.concatenate([a[values], b[values]])[_ranges(starts[order], sizes[order])]]
+    for start, size, pool in ((1, 2, 3), (4, 5, 6)):
+        out += [np.concatenate([a[start], len(a[pool]) + b[start]])[order], np.concatenate([a[size], b[size]])[order], np.concatenate([a[pool], b[pool]])]
     return tuple(out)
 
 
