@@ -83,22 +83,27 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ..
         part = data[p : p + PIECE + WINDOW - 1]
         h = prefix_hash(part)
         _, inv = powers(len(h))
-        v = mix((h[ANCHOR:] - h[:-ANCHOR]) * inv[: len(h) - ANCHOR] + U(ANCHOR))
-        m = (v & ~PLACE) | np.arange(len(v), dtype=U)
+        v = h[ANCHOR:] - h[:-ANCHOR]
+        v *= inv[: len(v)]
+        v ^= v >> U(32)
+        v *= U(0x94D049BB133111EB)
+        m = v & ~PLACE
+        m |= np.arange(len(v), dtype=U)
         for step in (1, 2, 4, 8):
             m = np.minimum(m[:-step], m[step:])  # after it, the least of 2 * step places
         n = len(part) - WINDOW + 1
         m = np.minimum(m[:n], m[SPAN - 16 :][:n])
-        row = np.searchsorted(offs, np.arange(p, p + n), "right") - 1
-        starts = np.flatnonzero(np.arange(p, p + n) + WINDOW <= offs[row + 1])
+        ends = np.repeat(offs[1:], np.diff(np.clip(offs, p, p + n)))  # of the texts that the windows start in
+        starts = np.flatnonzero(np.arange(p + WINDOW, p + WINDOW + n) <= ends)
         if not len(starts):
             continue
         at = (m[starts] & PLACE).astype(np.int64)
         new = np.ones(len(starts), bool)
-        new[1:] = (at[1:] != at[:-1]) | (row[starts][1:] != row[starts][:-1])
+        new[1:] = at[1:] != at[:-1]  # anchors of two texts differ in place
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(starts)) - 1
-        yield v[at[first]], at[first] + p, starts[first] + p, starts[last] + p, row[starts[first]]
+        begin = starts[first] + p
+        yield v[at[first]], at[first] + p, begin, starts[last] + p, np.searchsorted(offs, begin, "right") - 1
 
 
 def context_hash(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -118,25 +123,29 @@ class Seen:
     def decided(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Of strings (a, b): an order of them; in it, which ones a smaller id has too, here
         or earlier in the task, and which repeat string and id of the one before."""
-        order = np.lexsort((ids, b, a))
+        order = np.argsort(mix(a + mix(b)), kind="stable")
         x, y, d = a[order], b[order], ids[order]
         new = np.ones(len(order), bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
+        least = np.minimum.reduceat(d, first) if len(d) else d
         slot = ((x[first] ^ y[first]) % U(len(self.id))).astype(np.int64)
         known = (self.a[slot] == x[first]) & (self.b[slot] == y[first]) & (self.id[slot] < NO_ID)
         before = np.where(known, self.id[slot], NO_ID)
-        out = d > np.minimum(d[first], before)[group]
+        out = d > np.minimum(least, before)[group]
         if text is not None:
             t = text[order]
             inside = (t == t[first][group]).all(1)
+            of_first = np.where(inside, d, NO_ID)
             earlier = (t == self.bytes[slot][group]).all(1)
-            out = (inside & (d > d[first][group])) | (earlier & (d > before[group]))
+            out = (inside & (d > np.minimum.reduceat(of_first, first)[group])) | (earlier & (d > before[group]))
         repeat = ~new
         repeat[1:] &= d[1:] == d[:-1]
-        put = d[first] < before
-        self.a[slot[put]], self.b[slot[put]], self.id[slot[put]] = x[first][put], y[first][put], d[first][put]
+        if text is not None:
+            least = np.minimum.reduceat(of_first, first) if len(d) else d
+        put = least < before
+        self.a[slot[put]], self.b[slot[put]], self.id[slot[put]] = x[first][put], y[first][put], least[put]
         if text is not None:
             self.bytes[slot[put]] = t[first][put]
         return order, out, repeat
@@ -169,7 +178,7 @@ def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order, sure, repeat = seen.decided(v, c, ids[row])
                 order, sure = order[~repeat], sure[~repeat]
                 v, c, d = v[order], c[order], ids[row][order]
-                key = np.where(sure, mix(d.view(U) + c), v)
+                key = np.where(sure, mix(d.view(U)), v)
                 yield pa.record_batch([pa.array(as_long(key)), pa.array(d), pa.array(as_long(c) + np.where(sure, SURE, 0))], names=["anchor", "id", "context"])
 
 
