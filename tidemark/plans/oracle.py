@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import NUDGE, WALK
+from .queries import CFG, HALF, NUDGE
 
 # ------------------------------------------------------------- common table expressions
 
@@ -138,16 +138,18 @@ dd AS (SELECT date, close, peak, (close - peak) / nullif(peak, 0) AS drawdown FR
 _CAGR = "CASE WHEN count(close) >= 2 AND arg_min(close, date) > 0 THEN pow(arg_max(close, date) / arg_min(close, date), 252.0::DOUBLE / count(close)) - 1 ELSE 0 END"
 _X = "(ret - 0.06::DOUBLE / 252)"
 
-_p, _z, _h = (WALK.grid[k] for k in ("rsi_buy_threshold", "zscore_buy_threshold", "max_holding_days"))
+WALK = CFG.walk_forward
+_p, _z, _h, _m = (WALK.grid[k] for k in ("rsi_buy_threshold", "zscore_buy_threshold", "max_holding_days", "atr_stop_multiplier"))
 WALKED = INDICATORS + f""",
 cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ind)),
 nn AS (SELECT count(*) AS n FROM cal),
 win AS (SELECT row_number() OVER (ORDER BY s) - 1 AS w, s, s + {WALK.in_sample} AS m, s + {WALK.in_sample + WALK.out_of_sample} AS e
         FROM (SELECT unnest(range(0, (n - {WALK.in_sample + WALK.out_of_sample} + 1)::BIGINT, {WALK.step})) AS s FROM nn)),
-grid AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS g, p, z, h
+grid AS (SELECT row_number() OVER (ORDER BY a, b, c, o) - 1 AS g, p, z, h
          FROM (SELECT unnest({[float(x) for x in _p]}::DOUBLE[]) AS p, unnest(range({len(_p)})) AS a),
               (SELECT unnest({[float(x) for x in _z]}::DOUBLE[]) AS z, unnest(range({len(_z)})) AS b),
-              (SELECT unnest({[int(x) for x in _h]}::INT[]) AS h, unnest(range({len(_h)})) AS c)),
+              (SELECT unnest({[int(x) for x in _h]}::INT[]) AS h, unnest(range({len(_h)})) AS c),
+              (SELECT unnest(range({len(_m)})) AS o)),
 pnl AS (SELECT ticker, i, close, rsi, zscore FROM ind JOIN cal USING (date)),
 hit AS (SELECT g, h, i, ticker, close, row_number() OVER (PARTITION BY g, i ORDER BY ticker) AS k FROM pnl, grid WHERE rsi < p AND zscore < z),
 fwd AS (SELECT hit.g, hit.h, hit.i, avg(x.close / hit.close - 1) AS ret FROM hit JOIN pnl x ON x.ticker = hit.ticker AND x.i = hit.i + hit.h WHERE k <= 5 GROUP BY ALL),
@@ -221,7 +223,7 @@ ORACLE_SQL: dict[str, str] = {
     "mean_reversion_score": _with(FEATURES, _scalar("feat", f"{r(_TOTAL)} AS mean_reversion_score")),
     "winsorize": _with(BARS + ", p AS (SELECT quantile_cont(close, 0.01) AS a, quantile_cont(close, 0.99) AS b FROM bars)", f"SELECT ticker, date, {r('greatest(a, least(b, close))')} AS close FROM bars, p"),
     "minmax": _with(BARS + ", p AS (SELECT min(close) AS a, max(close) AS b FROM bars)", f"SELECT ticker, date, {r('(close - a) / nullif(b - a, 0)')} AS close FROM bars, p"),
-    "pivot_close": _with(BARS, "SELECT date, " + ", ".join("{} AS \"Brand#{}\"".format(r("avg(close) FILTER (ticker = 'Brand#%d')" % i), i) for i in range(1, 6)) + " FROM bars GROUP BY date"),
+    "pivot_close": _with(BARS, "SELECT date, " + ", ".join("{} AS \"Brand#{}\"".format(r("avg(close) FILTER (ticker = 'Brand#%d')" % i), i) for i in range(1, 26)) + " FROM bars GROUP BY date"),
     "regime_raw": _with(INDEX + "," + REGIME, "SELECT date, raw_regime FROM reg"),
     "regime_confirmed": _with(INDEX + "," + REGIME, f"SELECT date, regime, {r('CASE regime WHEN $$bearish$$ THEN 0 WHEN $$cautious$$ THEN 1 / 3::DOUBLE WHEN $$mild_bull$$ THEN 2 / 3::DOUBLE WHEN $$strong_bull$$ THEN 1 END::DOUBLE')} AS strength, coalesce(regime IN ('strong_bull', 'mild_bull'), FALSE) AS allowed FROM reg"),
     "regime_vix_asof": _with(INDEX + "," + REGIME, "SELECT date, low_vol FROM lowv"),
@@ -235,7 +237,7 @@ ORACLE_SQL: dict[str, str] = {
     "top_candidates": _with(RANKED, f"SELECT date, rank, ticker, {r('composite_score', 3)} AS composite_score FROM ranked WHERE date = (SELECT max(date) FROM ranked) AND rank <= 5"),
     "latest_per_ticker": _with(BARS, f"SELECT ticker, date, {_OHLCV_R} FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1"),
     "most_stretched": _with(INDICATORS, f"SELECT ticker, date, {r('close')} AS close, {r('zscore')} AS zscore, {r('volume_spike')} AS volume_spike FROM (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1) x WHERE x.zscore IS NOT NULL ORDER BY x.zscore, ticker LIMIT 5"),
-    "universe_diff": "WITH s AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_size AS symbol FROM part WHERE p_partkey % 2 = 0), l AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_size AS symbol FROM part WHERE p_partkey % 3 = 0) SELECT symbol, 'added' AS status FROM (SELECT * FROM l EXCEPT SELECT * FROM s) UNION ALL SELECT symbol, 'removed' FROM (SELECT * FROM s EXCEPT SELECT * FROM l) UNION ALL SELECT symbol, 'common' FROM (SELECT * FROM s INTERSECT SELECT * FROM l)",
+    "universe_diff": f"WITH t AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_size AS symbol, CAST(l_shipdate AS DATE) < DATE '{HALF}' AS early FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT symbol FROM t WHERE early), l AS (SELECT symbol FROM t WHERE NOT early) SELECT symbol, 'added' AS status FROM (SELECT * FROM l EXCEPT SELECT * FROM s) UNION ALL SELECT symbol, 'removed' FROM (SELECT * FROM s EXCEPT SELECT * FROM l) UNION ALL SELECT symbol, 'common' FROM (SELECT * FROM s INTERSECT SELECT * FROM l)",
     "ticker_counts": _with(BARS, "SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY ticker"),
     "trading_calendar": _with(BARS, "SELECT date, row_number() OVER (ORDER BY date) - 1 AS date_idx, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM bars)"),
     "business_day_counts": f"WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + (o_orderkey % 40)::INT AS b FROM orders) SELECT o_orderkey, a, {_bd('b')} - {_bd('a')} AS days FROM o",

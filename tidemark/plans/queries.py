@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config, WalkForwardConfig
+from ..config import Config
 from ..functions import business_days, change, parse_date
 from ..operators import clean, features, indicators, metrics, ranking, regime, signals, simulate, trades, walk_forward
 from ..sources import panels
@@ -19,8 +19,8 @@ from ..streaming import bars as tick_bars
 from . import research
 
 CFG = Config()
-#: A small grid and short spans, for the walk-forward SQL only; the queries run with CFG.walk_forward.
-WALK = WalkForwardConfig(in_sample=252, out_of_sample=63, step=252, grid={"rsi_buy_threshold": (10, 30), "zscore_buy_threshold": (-1.0, 0.0), "max_holding_days": (5, 10)})
+#: Where ``universe_diff`` divides the line items.
+HALF = "1998-06-05"
 #: See ``rounded``.
 NUDGE = 1.3e-7
 COSTS = (0.0, 0.001, 0.002, 0.003)
@@ -329,9 +329,12 @@ def most_stretched(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def universe_diff(spark, d):  # noqa: ANN001, ANN201
-    part = panels.table(spark, d, "part")
-    small, large = (part.where(c).select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), F.col("p_size").cast("string")).alias("symbol")) for c in ("p_partkey % 2 = 0", "p_partkey % 3 = 0"))
-    return ranking.universe_difference(small, large)
+    """What was traded before and from the middle of the ship dates on: every line item is
+    in one of the two universes."""
+    symbol = F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), F.col("p_size").cast("string")).alias("symbol")
+    early = (F.col("l_shipdate").cast("date") < F.lit(HALF).cast("date")).alias("early")
+    traded = panels.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), early).distinct().join(panels.table(spark, d, "part"), "p_partkey")
+    return ranking.universe_difference(*(traded.where(c).select(symbol) for c in ("early", "not early")))
 
 
 @query
