@@ -6,7 +6,8 @@ component is positive, from the bottom where it is negative), all lists to the s
 depth. What has been read of a row gives, with the lists' current and last entries for
 the rest, an upper and a lower bound of its score; no list is read anywhere else. Reading
 goes on until few rows' upper bounds still reach the k-th lower bound (``LEFT`` for each
-wanted one), however deep that is; the scores of these are then resolved exactly. The
+wanted one, or a ``SHARE``-th of the block), however deep that is; the scores of these are
+then resolved exactly. Bounds of many queries are matrix products over what is read. The
 k-th best score so far carries over to the task's next block. Blocks' answers are merged
 by a ranking per query.
 
@@ -30,9 +31,10 @@ from .common import Scratch
 
 #: Vectors of a row block, and of a block of queries (bounded by what executors hold at a time).
 ROWS, QUERIES = 8192, 20_000
-#: Depths of the lists, as shares, at which bounds are compared; candidates for each wanted row at which reading stops.
-DEPTHS = (0.04, 0.12, 0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
-LEFT = 8
+#: Depths of the lists, as shares, at which bounds are compared; candidates for each wanted row, or share of the
+#: block, at which reading stops; queries that are compared together.
+DEPTHS = (0.4, 0.9, 1.0)
+LEFT, SHARE, TOGETHER = 8, 64, 256
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -69,40 +71,59 @@ class Lists:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         up = np.argsort(x, axis=0, kind="stable")
-        values = np.take_along_axis(x, up, 0)
-        #: By reading direction: rows, their values, and (as the last entries) the lists' ends.
-        self.rows, self.values = (up[::-1], up), (values[::-1], values)
+        #: The lists' values, and every row's place in each list.
+        self.sorted, self.place = np.take_along_axis(x, up, 0), np.argsort(up, axis=0, kind="stable")
         self.biggest = float(np.abs(x).max(initial=0.0))
-
-    def top(self, query: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the k best of this block with at least ``floor``, and
-        their exact scores."""
+        self.depths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def read(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of all rows that are read at depth ``end`` from the top and from the
+        bottom of each list (0 where not), and a 1 for each that is not."""
+        if end not in self.depths:
+            n = len(self.ids)
+            read = np.hstack([self.place >= n - end, self.place < end])
+            self.depths[end] = np.where(read, np.hstack([self.x, self.x]), 0.0).T, (~read).astype(np.float64).T
+        return self.depths[end]
+
+    def top(self, queries: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows that may be among the k best of this block with at least
+        ``floor``, and their exact scores."""
+        out: list[tuple[np.ndarray, np.ndarray]] = [(self.ids, self.ids)] * len(queries)
+        large = np.abs(q).max(axis=1, initial=0.0) * self.biggest * max(1, q.shape[1]) >= 2**52
+        for i in np.flatnonzero(large).tolist():  # doubles do not hold such scores: read all
+            rows = np.flatnonzero(self.ids != queries[i])
+            out[i] = rows, (self.x[rows].astype(np.int64) * q[i].astype(np.int64)).sum(1)
+        some = np.flatnonzero(~large)
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            for i, row in zip(part.tolist(), self.candidates(queries[part], q[part], k, floor[part]), strict=True):
+                rows = np.flatnonzero(row)
+                out[i] = rows, (self.x[rows] @ q[i]).astype(np.int64)
+        return out
+
+    def candidates(self, queries: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+        """queries x rows: which rows' upper bounds reach the k-th lower bound. A list is read
+        from the top for queries above zero in its dimension, from the bottom for others."""
         n = len(self.ids)
-        others = self.ids != query
-        rows = np.flatnonzero(others)
-        if float(np.abs(q).max(initial=0.0)) * self.biggest * max(1, len(q)) >= 2**52:  # doubles do not hold such scores: read all
-            return rows, (self.x[rows].astype(np.int64) * q.astype(np.int64)).sum(1)
-        dims = [np.flatnonzero(q > 0), np.flatnonzero(q < 0)]
-        weight = np.concatenate([q[d] for d in dims])
-        entry = lambda i: weight * np.concatenate([self.values[k][i, d] for k, d in enumerate(dims)])
-        last = entry(n - 1)  # the least that a list can contribute
-        low = np.full(n, last.sum())
-        seen = np.zeros((n, len(weight)), bool)
-        at = 0
-        for share in DEPTHS if len(weight) else ():
+        pos, neg = np.maximum(q, 0), np.minimum(q, 0)
+        both = np.hstack([pos, neg])
+        least = np.hstack([pos * self.sorted[0], neg * self.sorted[-1]])  # of what is not read yet
+        own = queries[:, None] == self.ids[None, :]
+        may = ~own
+        todo = np.arange(len(q))
+        for share in DEPTHS:
             end = ceil(share * n)
-            if end <= at or len(rows) <= LEFT * k:
-                continue
-            new = np.concatenate([self.rows[i][at:end, d] for i, d in enumerate(dims)], axis=1)
-            gain = np.concatenate([self.values[i][at:end, d] for i, d in enumerate(dims)], axis=1) * weight - last
-            low += np.bincount(new.ravel(), gain.ravel(), n)
-            seen[new, np.arange(len(weight))] = True
-            at = end
-            more = entry(end - 1) - last  # what an unread list may still add
-            kth = max(floor, np.partition(low[rows], len(rows) - k)[len(rows) - k]) if len(rows) >= k else floor
-            high = low[rows] + more.sum() - seen[rows] @ more
-            rows = rows[high >= kth]
-        return rows, (self.x[rows] @ q).astype(np.int64)
+            entries, unread = self.read(end)
+            most = np.hstack([pos * self.sorted[n - end], neg * self.sorted[end - 1]])
+            known = both[todo] @ entries
+            low = known + least[todo] @ unread
+            low[own[todo]] = -np.inf
+            kth = np.maximum(floor[todo], np.partition(low, n - k, axis=1)[:, n - k]) if n >= k else floor[todo]
+            may[todo] &= known + most[todo] @ unread >= kth[:, None]
+            todo = todo[may[todo].sum(1) > max(LEFT * k, n // SHARE)]
+            if not len(todo):
+                break
+        return may
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +161,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 lists = Lists(ids, matrix(vecs, dims))
                 wide = np.zeros((len(qids), dims))
                 wide[:, : q.shape[1]] = q
-                for i, qid in enumerate(qids.tolist()):
-                    at = held[i]
-                    r, s = lists.top(qid, wide[i], k, float(at[1][-1]) if len(at[1]) == k else -np.inf)
-                    held[i] = best(np.append(at[0], ids[r]), np.append(at[1], s), k)
+                floor = np.array([float(h[1][-1]) if len(h[1]) == k else -np.inf for h in held])
+                for i, (r, s) in enumerate(lists.top(qids, wide, k, floor)):
+                    held[i] = best(np.append(held[i][0], ids[r]), np.append(held[i][1], s), k)
 
             wait_ids, wait = [], []
             for batch in batches:
