@@ -76,13 +76,17 @@ def drawdowns(equity: DataFrame) -> DataFrame:
 def max_drawdown(equity: DataFrame) -> DataFrame:
     """One row: depth, dates of peak, trough and recovery. The trough is the first lowest
     date; the peak the last date up to it at the peak's value; the recovery the first
-    later date that regains it, given that at least two do."""
+    later date that regains it, given that at least two do. A curve that never falls, or
+    has no rows, has depth 0 and no dates."""
     d = drawdowns(equity)
     trough = d.agg(F.min_by(F.struct(F.col("date").alias("trough_date"), "peak", "drawdown"), F.struct("drawdown", "date")).alias("x")).select("x.trough_date", F.col("x.peak").alias("level"), F.col("x.drawdown").alias("max_drawdown"))
     d = d.join(F.broadcast(trough))  # one row is broadcast
-    back = (F.col("date") > F.col("trough_date")) & (F.col("equity") >= F.col("level"))
-    return d.groupBy("max_drawdown", "trough_date").agg(
-        F.max(F.when((F.col("date") <= F.col("trough_date")) & (F.col("equity") == F.col("level")), F.col("date"))).alias("peak_date"),
+    falls = F.col("max_drawdown") < 0
+    back = falls & (F.col("date") > F.col("trough_date")) & (F.col("equity") >= F.col("level"))
+    return d.agg(
+        F.coalesce(F.max("max_drawdown"), F.lit(0.0)).alias("max_drawdown"),
+        F.max(F.when(falls, F.col("trough_date"))).alias("trough_date"),
+        F.max(F.when(falls & (F.col("date") <= F.col("trough_date")) & (F.col("equity") == F.col("level")), F.col("date"))).alias("peak_date"),
         F.when(F.sum(back.cast("long")) >= 2, F.min(F.when(back, F.col("date")))).alias("recovery_date"),
     )
 
