@@ -41,7 +41,7 @@ def close(a, b, tol=1e-9):
 
 
 def test_ewm_matches_pandas(spark, bars):
-    alphas = {"a": 0.5, "b": 1 / 14, "c": 2 / 51, "d": 2 / 10}
+    alphas = {"a": 0.5, "b": 1 / 14, "c": 2 / 51, "d": 2 / 10, "e": 1.0, "f": 0.9, "g": 2 / 201}
     got = ewm(bars, {k: ("close", a, 3) for k, a in alphas.items()}).toPandas().sort_values(["ticker", "date"])
     for k, a in alphas.items():
         want = got.groupby("ticker")["close"].transform(lambda s: s.ewm(alpha=a, adjust=False, min_periods=3).mean())

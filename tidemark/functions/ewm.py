@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What an observation still weighs after a block.
 FORGOTTEN = 1e-16
+#: The largest weight of a value; sums of prices below 1e20 cannot overflow.
+LARGEST = 1e285
 
 
 def ewm(df: DataFrame, sources: dict[str, tuple[str, float, int]], key: str = "ticker", order: str = "date") -> DataFrame:
@@ -17,32 +19,51 @@ def ewm(df: DataFrame, sources: dict[str, tuple[str, float, int]], key: str = "t
 
     ``sources``: name -> (column, alpha, least observations). Rows are cut into blocks so
     long that what stands before a block's predecessor is forgotten; inside a block the
-    mean is a running sum of values over growing weights (at most 1 / FORGOTTEN, so it
-    cannot overflow), and the ends of the two blocks before are carried in. The columns
-    must be dense: leading nulls are skipped, later ones are not supported (see
-    ``ewm_gapped``). All windows share one exchange by ``key``."""
-    base = Window.partitionBy(key).orderBy(order)
-    upto = base.rowsBetween(Window.unboundedPreceding, 0)
-    before = base.rowsBetween(Window.unboundedPreceding, -1)
-    columns = {c for c, _, _ in sources.values()}
-    number = {c: f"_n_{c}" for c in columns}
-    df = df.withColumns({n: F.count(c).over(upto) - 1 for c, n in number.items()})
-    sums, ends, second, out, helpers = {}, {}, {}, {}, list(number.values())
+    mean is a running sum of values over growing weights, and the ends of the two blocks
+    before are carried in. Means whose weights stay below LARGEST share the longest block,
+    so that usually all of them are one sort by block. The columns must be dense: leading
+    nulls are skipped, later ones are not supported (see ``ewm_gapped``). All windows share
+    one exchange by ``key``."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    number = {c: f"_n_{c}" for c in sorted({c for c, _, _ in sources.values()})}
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    df = df.withColumns({"_row": place, **{n: F.count(c).over(upto) - 1 for c, n in number.items()}})
+    for size, names in _block_sizes({name: 1 - alpha for name, (_, alpha, _) in sources.items()}):
+        df = _with_means(df, {name: sources[name] for name in names}, number, size, key, order)
+    return df.drop("_row", *number.values())
+
+
+def _block_sizes(keep: dict[str, float]) -> list[tuple[int, list[str]]]:
+    """(rows of a block, names that use it): each name joins the shortest of the longer
+    blocks that its weights allow."""
+    own = {name: max(1, ceil(log(FORGOTTEN) / log(k))) if k > 0 else 1 for name, k in keep.items()}
+    sizes: dict[int, list[str]] = {}
+    for name in sorted(own, key=own.get, reverse=True):
+        fits = [s for s in sizes if keep[name] <= 0 or s * -log(keep[name]) <= log(LARGEST)]
+        sizes.setdefault(min(fits, default=own[name]), []).append(name)
+    return list(sizes.items())
+
+
+def _with_means(df: DataFrame, sources: dict[str, tuple[str, float, int]], number: dict[str, str], size: int, key: str, order: str) -> DataFrame:
+    df = df.withColumn("_block", F.floor(F.col("_row") / size))
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_block", order).rowsBetween(Window.unboundedPreceding, -1)  # the sort of ``inside`` serves
+    i = F.pmod(F.col("_row"), F.lit(size))
+    sums, ends, second, out = {}, {}, {}, {}
     for name, (c, alpha, least) in sources.items():
-        keep = 1 - alpha
-        size = max(1, ceil(log(FORGOTTEN) / log(keep))) if alpha < 1 else 1
-        n = F.col(number[c])
-        block, i = F.floor(n / size), F.pmod(n, F.lit(size))
+        keep, n = 1 - alpha, F.col(number[c])
         weight = F.when(n == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        w = Window.partitionBy(key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         s, e1, e2 = f"_s_{name}", f"_e_{name}", f"_f_{name}"
-        helpers += [s, e1, e2]
-        x = F.when(n >= 0, F.col(c))
-        sums[s] = F.pow(F.lit(keep), i) * F.sum(weight * x * F.pow(F.lit(keep), -i)).over(w) if alpha < 1 else x
+        if alpha >= 1:
+            out[name] = F.when(n + 1 >= least, F.col(c))
+            continue
+        sums[s] = F.pow(F.lit(keep), i) * F.sum(weight * F.col(c) * F.pow(F.lit(keep), -i)).over(inside)
         ends[e1] = F.last(F.when(i == size - 1, F.col(s)), True).over(before)
         second[e2] = F.last(F.when(i == size - 1, F.col(s) + F.lit(keep**size) * F.coalesce(e1, F.lit(0.0))), True).over(before)
         out[name] = F.when(n + 1 >= least, F.col(s) + F.pow(F.lit(keep), i + 1) * F.coalesce(e2, F.lit(0.0)))
-    return df.withColumns(sums).withColumns(ends).withColumns(second).withColumns(out).drop(*helpers)
+    for step in (sums, ends, second):
+        df = df.withColumns(step) if step else df
+    return df.withColumns(out).drop("_block", *sums, *ends, *second)
 
 
 def ewm_gapped(df: DataFrame, column: str, alpha: float, least: int, name: str, key: str = "ticker", order: str = "date") -> DataFrame:

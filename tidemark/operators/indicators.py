@@ -59,22 +59,39 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def with_rsi(df: DataFrame, period: int = 2, column: str = "close", name: str | None = None) -> DataFrame:
-    """100 - 100 / (1 + mean gain / mean loss); 100 where there was no loss."""
-    name = name or f"rsi_{period}"
+def _with_steps(df: DataFrame, column: str) -> DataFrame:
     step = F.col(column) - F.lag(column, 1).over(by_ticker())
-    df = df.withColumn("_gain", at_least(step, 0.0)).withColumn("_loss", at_least(-step, 0.0))
-    df = ewm(df, {"_mean_gain": ("_gain", 1 / period, period), "_mean_loss": ("_loss", 1 / period, period)})
+    return df.withColumns({"_gain": at_least(step, 0.0), "_loss": at_least(-step, 0.0)})
+
+
+def _rsi_sources(period: int) -> dict[str, tuple[str, float, int]]:
+    return {"_mean_gain": ("_gain", 1 / period, period), "_mean_loss": ("_loss", 1 / period, period)}
+
+
+def _with_rsi(df: DataFrame, name: str) -> DataFrame:
     rs = divide(F.col("_mean_gain"), F.col("_mean_loss"))
     return df.withColumn(name, F.when(F.col("_mean_loss").isNotNull(), F.coalesce(100 - 100 / (1 + rs), F.lit(100.0)))).drop("_gain", "_loss", "_mean_gain", "_mean_loss")
 
 
+def _ema_sources(periods: tuple[int, ...], column: str) -> dict[str, tuple[str, float, int]]:
+    return {f"ema_{p}": (column, 2 / (p + 1), p) for p in periods}
+
+
+def _atr_sources(period: int) -> dict[str, tuple[str, float, int]]:
+    return {f"atr_{period}": ("_range", 1 / period, period)}
+
+
+def with_rsi(df: DataFrame, period: int = 2, column: str = "close", name: str | None = None) -> DataFrame:
+    """100 - 100 / (1 + mean gain / mean loss); 100 where there was no loss."""
+    return _with_rsi(ewm(_with_steps(df, column), _rsi_sources(period)), name or f"rsi_{period}")
+
+
 def with_ema(df: DataFrame, periods: tuple[int, ...] = (9, 21, 50), column: str = "close") -> DataFrame:
-    return ewm(df, {f"ema_{p}": (column, 2 / (p + 1), p) for p in periods})
+    return ewm(df, _ema_sources(periods, column))
 
 
 def with_atr(df: DataFrame, period: int = 14) -> DataFrame:
-    return ewm(df.withColumn("_range", true_range()), {f"atr_{period}": ("_range", 1 / period, period)}).drop("_range")
+    return ewm(df.withColumn("_range", true_range()), _atr_sources(period)).drop("_range")
 
 
 def with_all(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig(), strict: bool = False) -> DataFrame:
@@ -98,7 +115,9 @@ def with_all(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig(), strict: bo
         }
     )
     df = df.withColumns({"bb_pct_b": pct_b(c, F.col("bb_upper"), F.col("bb_lower")), "volatility_ann": volatility(F.col("_log_return"), cfg.volatility_lookback)}).drop("_log_return")
-    df = with_atr(with_ema(with_rsi(df, cfg.rsi_period), cfg.ema_periods), cfg.atr_period)
+    means = {**_rsi_sources(cfg.rsi_period), **_ema_sources(cfg.ema_periods, "close"), **_atr_sources(cfg.atr_period)}
+    df = ewm(_with_steps(df, "close").withColumn("_range", true_range()), means).drop("_range")
+    df = _with_rsi(df, f"rsi_{cfg.rsi_period}")
     if strict:
         return df
     return df.withColumns({"rsi": F.col(f"rsi_{cfg.rsi_period}"), "atr": F.col(f"atr_{cfg.atr_period}"), "distance_from_sma_20": F.col(f"dist_from_ma_{cfg.zscore_lookback}")})
