@@ -74,18 +74,33 @@ class Portfolio:
         self.trades.append((ticker, p.entry_date, date, p.entry_price, got, p.shares, (got - p.entry_price) * p.shares, got / p.entry_price - 1, (date - p.entry_date).days, reason))
 
     def day(self, date, next_date, allowed: bool, bars: dict[str, tuple], candidates: list[tuple]) -> None:  # noqa: ANN001
-        """bars: ticker -> (close, low, sell signal, reason); candidates in rank order:
-        (ticker, atr or None, whether there is a bar today, open of the next date or None)."""
+        """bars: ticker -> (close, low, sell signal, reason, open of the next date or None);
+        candidates in rank order: (ticker, atr or None, whether there is a bar today, open of
+        the next date or None).
+
+        With ``exit_fill`` "next_open" an exit decided today is filled at the ticker's open of
+        the next date, as entries are, and frees its cash and place today; without such an
+        open the position stays and is judged again on the next date."""
         close = {t: bars[t][0] if t in bars else p.entry_price for t, p in self.held.items()}
         self.mark(date, close)
+
+        def leave(ticker: str, reason: str) -> None:
+            if self.rules.exit_fill == "close":
+                self.close(ticker, date, close[ticker], reason)
+            elif next_date is not None and ticker in bars and bars[ticker][4] is not None and bars[ticker][4] > 0:
+                self.close(ticker, next_date, bars[ticker][4], reason)
+            else:
+                stuck.add(ticker)
+
+        stuck: set[str] = set()
         for t in [t for t, p in self.held.items() if t in bars and bars[t][1] <= p.stop_loss]:
-            self.close(t, date, close[t], "atr_stop")
-        for t, p in list(self.held.items()):
+            leave(t, "atr_stop")
+        for t, p in [x for x in self.held.items() if x[0] not in stuck]:
             days = int(np.busday_count(p.entry_date, date)) if date > p.entry_date else 0
             if days >= self.signals.max_hold_days:
-                self.close(t, date, close[t], "time_stop")
+                leave(t, "time_stop")
             elif t in bars and bars[t][2]:
-                self.close(t, date, close[t], bars[t][3] or "mean_reversion")
+                leave(t, bars[t][3] or "mean_reversion")
         if not allowed or next_date is None:
             return
         before = set(self.held)
@@ -112,7 +127,7 @@ def days_of(signals: DataFrame, rankings: DataFrame, regime: DataFrame, rules: R
     df = df.where("traded").join(days.select("date", "next_date"), "date")
     after = F.when(F.col("bar_after") == F.col("next_date"), F.col("open_after"))
     arrays = df.groupBy("date").agg(
-        F.collect_list(F.struct("ticker", "close", "low", "sell", "exit_reason")).alias("bars"),
+        F.collect_list(F.struct("ticker", "close", "low", "sell", "exit_reason", after.alias("open_after"))).alias("bars"),
         F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "ticker", "atr", F.lit(True).alias("has_bar"), after.alias("open"))))).alias("picks"),
     )
     ok = regime.select("date", holds(F.col("regime").isin(*rules.allowed)).alias("allowed"))
@@ -123,7 +138,7 @@ def _fold(pdf: pd.DataFrame, rules: BacktestConfig, signals: SignalConfig) -> Po
     pdf = pdf.sort_values("date_idx")
     p = Portfolio(float(pdf["capital"].iloc[0]), float(pdf["buy_cost"].iloc[0]), float(pdf["sell_cost"].iloc[0]), rules, signals)
     for date, nxt, allowed, bars, picks in zip(pdf["date"], pdf["next_date"], pdf["allowed"], pdf["bars"], pdf["picks"], strict=True):
-        b = {x["ticker"]: (x["close"], x["low"], x["sell"], x["exit_reason"]) for x in (bars if bars is not None else [])}
+        b = {x["ticker"]: (x["close"], x["low"], x["sell"], x["exit_reason"], x["open_after"]) for x in (bars if bars is not None else [])}
         c = [(x["ticker"], x["atr"], bool(x["has_bar"]), x["open"]) for x in (picks if picks is not None else [])]
         p.day(date, None if pd.isna(nxt) else nxt, bool(allowed), b, c)
     return p
@@ -140,14 +155,39 @@ def _grouped(days: DataFrame, which: DataFrame):  # noqa: ANN202
     return days.crossJoin(F.broadcast(which)).groupBy("scenario_id")  # a handful of stated scenarios
 
 
+#: The two tables of a run as arrays of one row.
+_RUN = f"scenario_id string, trades array<struct<{TRADES.split(', ', 1)[1]}>>, equity array<struct<{EQUITY.split(', ', 1)[1]}>>"
+
+
+def simulated(days: DataFrame, which: DataFrame, rules: BacktestConfig = BacktestConfig(), signals: SignalConfig = SignalConfig()) -> DataFrame:
+    """One row per scenario with the arrays ``trades`` and ``equity`` of one fold: a row of
+    ``equity`` a date, at most ``max_positions`` new trades a date. Persist it to read both."""
+    if rules.exit_fill not in ("close", "next_open"):
+        raise ValueError(f"exit_fill is close or next_open, not {rules.exit_fill}")
+    names = {k: [c.split()[0] for c in kind.split(", ")[1:]] for k, kind in (("trades", TRADES), ("equity", EQUITY))}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = _fold(pdf, rules, signals)
+        rows = {k: [dict(zip(names[k], row, strict=True)) for row in table] for k, table in (("trades", p.trades), ("equity", p.equity))}
+        return pd.DataFrame({"scenario_id": [pdf["scenario_id"].iloc[0]], "trades": [rows["trades"]], "equity": [rows["equity"]]})
+
+    return _grouped(days, which).applyInPandas(one, _RUN)
+
+
+def trades_of(runs: DataFrame) -> DataFrame:
+    return runs.select("scenario_id", F.inline("trades"))
+
+
+def equity_of(runs: DataFrame) -> DataFrame:
+    return runs.select("scenario_id", F.inline("equity"))
+
+
 def simulated_trades(days: DataFrame, which: DataFrame, rules: BacktestConfig = BacktestConfig(), signals: SignalConfig = SignalConfig()) -> DataFrame:
-    names = [c.split()[0] for c in TRADES.split(", ")]
-    return _grouped(days, which).applyInPandas(lambda pdf: pd.DataFrame([(pdf["scenario_id"].iloc[0], *t) for t in _fold(pdf, rules, signals).trades], columns=names), TRADES)
+    return trades_of(simulated(days, which, rules, signals))
 
 
 def simulated_equity(days: DataFrame, which: DataFrame, rules: BacktestConfig = BacktestConfig(), signals: SignalConfig = SignalConfig()) -> DataFrame:
-    names = [c.split()[0] for c in EQUITY.split(", ")]
-    return _grouped(days, which).applyInPandas(lambda pdf: pd.DataFrame([(pdf["scenario_id"].iloc[0], *e) for e in _fold(pdf, rules, signals).equity], columns=names), EQUITY)
+    return equity_of(simulated(days, which, rules, signals))
 
 
 def benchmark_equity(index: DataFrame, capital: float = BacktestConfig().initial_capital) -> DataFrame:
@@ -163,3 +203,16 @@ def portfolio_summary(trades: DataFrame, equity: DataFrame) -> DataFrame:
     won = F.sum((F.col("pnl") > 0).cast("long"))
     done = trades.groupBy("scenario_id").agg(n.alias("total_trades"), won.alias("winning_trades"), (n - won).alias("losing_trades"), (won / n).alias("win_rate"), F.sum("pnl").alias("total_pnl"), F.avg("pnl_pct").alias("avg_pnl_pct"))
     return last.join(done, "scenario_id", "left").fillna(0)
+
+
+def summary_of(runs: DataFrame) -> DataFrame:
+    """``portfolio_summary`` of ``simulated`` rows, from their arrays: one pass, one fold."""
+    last, pnl = F.try_element_at("equity", F.lit(-1)), F.col("trades.pnl")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    n, won = F.size("trades"), F.size(F.filter(pnl, lambda x: x > 0))
+    share = lambda x: x / F.nullif(n, F.lit(0))
+    out = runs.select(
+        "scenario_id", last["cash"].alias("cash"), last["total_equity"].alias("total_equity"), last["num_positions"].alias("num_positions"), n.cast("long").alias("total_trades"),
+        won.cast("long").alias("winning_trades"), (n - won).cast("long").alias("losing_trades"), share(won).alias("win_rate"), total(pnl).alias("total_pnl"), share(total(F.col("trades.pnl_pct"))).alias("avg_pnl_pct"),
+    )
+    return out.fillna(0)

@@ -461,7 +461,7 @@ def portfolio_equity(spark, d):  # noqa: ANN001, ANN201
 @query
 def cost_sensitivity(spark, d):  # noqa: ANN001, ANN201
     which, days = simulate.scenarios(spark, costs=COSTS), _days(spark, d)
-    return simulate.portfolio_summary(simulate.simulated_trades(days, which), simulate.simulated_equity(days, which))
+    return simulate.summary_of(simulate.simulated(days, which))
 
 
 @query

@@ -27,6 +27,12 @@ class Backtest:
     trades: DataFrame
     metrics: DataFrame
     benchmark: DataFrame | None = None
+    runs: DataFrame | None = None
+
+    def release(self) -> None:
+        """Frees what ``backtest`` persisted; its tables can still be read."""
+        if self.runs is not None:
+            self.runs.unpersist()
 
 
 def research(bars: DataFrame, index: DataFrame, vix: DataFrame | None = None, cfg: Config = Config(), raw: bool = False) -> Research:
@@ -41,14 +47,16 @@ def research(bars: DataFrame, index: DataFrame, vix: DataFrame | None = None, cf
 
 
 def backtest(r: Research, cfg: Config = Config(), benchmark: DataFrame | None = None, spark: SparkSession | None = None) -> Backtest:
-    """Simulates the configured scenario; the reduced panel of days is the fold's only input."""
+    """Simulates the configured scenario; the reduced panel of days is the fold's only input.
+    The fold runs once for both tables: its one row is persisted (a row of equity a date)
+    until ``Backtest.release``, and computed again if its executor is lost."""
     spark = spark or r.signals.sparkSession
     days = simulate.days_of(r.signals, r.rankings, r.regime, cfg.regime)
     which = simulate.scenarios(spark, cfg.backtest)
-    equity = simulate.simulated_equity(days, which, cfg.backtest, cfg.signals)
-    trades = simulate.simulated_trades(days, which, cfg.backtest, cfg.signals)
+    runs = simulate.simulated(days, which, cfg.backtest, cfg.signals).persist()
+    equity, trades = simulate.equity_of(runs), simulate.trades_of(runs)
     held = simulate.benchmark_equity(benchmark, cfg.backtest.initial_capital) if benchmark is not None else None
-    return Backtest(equity, trades, metrics.compute_all(equity, trades), held)
+    return Backtest(equity, trades, metrics.compute_all(equity, trades), held, runs)
 
 
 def watchlist(r: Research, n: int = 10) -> DataFrame:
