@@ -309,9 +309,20 @@ def test_sources_and_sinks(spark, bars, tmp_path):
 
     assert fetch.fetched(failing, "X", DataConfig(), sleep=lambda s: None) == [] and len(calls) == 3
     assert fetch.chunks([1, 2, 3], 2) == [[1, 2], [3]]
+    naps = []
+    one = lambda symbol, start, end: [(symbol,)]
+    assert list(fetch.fetched_chunks(one, [[("a", "A"), ("b", "B")], [("c", "C")]], DataConfig(), naps.append)) == [("a", "A"), ("b", "B"), ("c", "C")] and naps == [2.0]
     rows = lambda symbol, start, end: [(dt.date(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0)]
     assert fetch.load(spark, rows, {"a": "A", "b": "B"}, name="fake_bars").count() == 2
-    assert universe.universe(spark, ["B", "A", "A"], ".NS").count() == 2
+    quick = DataConfig(chunk_size=1, chunk_delay=0.0, index_delay=0.0)
+    assert fetch.load(spark, rows, dict.fromkeys("abcde", "X"), quick, name="fake_lanes", lanes=2).count() == 5
+    assert {r.index_name for r in fetch.load_indexes(spark, rows, quick).collect()} == set(universe.INDEXES)
+    assert universe.universe(spark, ["B", "A", "A"], ".NS").count() == 2 and universe.universe(spark).count() == 50
+    listing = "<table><tr><th>Rank</th></tr></table><table><tr><th>Name</th><th> Symbol</th></tr>" + "".join(f"<tr><td>n{i}</td><td><a>S{i}</a>&amp;</td></tr>" for i in range(45)) + "</table>"
+    (tmp_path / "list.html").write_text(listing)
+    assert "S7&.NS" in {r.symbol for r in universe.read_universe(spark, str(tmp_path / "list.html"), ".NS").collect()}
+    with pytest.raises(RuntimeError):
+        universe.listed_symbols(listing.replace("Symbol", "Code"))
     u = ranking.universe_difference(universe.universe(spark, ["A", "B"]), universe.universe(spark, ["B", "C"]))
     assert {(r.symbol, r.status) for r in u.collect()} == {("C", "added"), ("A", "removed"), ("B", "common")}
 
@@ -350,3 +361,65 @@ def test_stream_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, tick_bars(df).collect()))
+
+
+def test_last_row_of_a_file_stays(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "A.csv").write_text("Date,Open,High,Low,Close,Volume\n" + "".join(f"2024-01-02,{9 - i},9,1,{9 - i},10\n" for i in range(5)))
+    kept = clean.deduplicated(files.read_csv_bars(spark, str(tmp_path)), "source_row").collect()
+    assert [r.close for r in kept] == [5.0]
+
+
+def test_score_takes_components_with_any_value(spark):
+    """A component without any value shares its weight out; one with some nulls does not."""
+    none = dict.fromkeys(("zscore_score", "relative_weakness_score", "volume_exhaustion_score", "atr_norm_score", "dist_from_ma_score"))
+    rows = [(1, 0.5, 1.0), (2, 0.5, None)]
+    df = spark.createDataFrame(rows, "k int, rsi_score double, zscore_score double")
+    df = df.withColumns({c: F.lit(None).cast("double") for c in none if c != "zscore_score"})
+    got = {r.k: r.mean_reversion_score for r in features.with_mean_reversion_score(df).collect()}
+    assert close(got[1], (0.5 * 0.20 + 1.0 * 0.25) / 0.45) and got[2] is None
+    named = {r.k: r.mean_reversion_score for r in features.with_mean_reversion_score(df, available={"rsi_score"}).collect()}
+    assert close(named[1], 0.5) and close(named[2], 0.5)
+    empty = features.with_mean_reversion_score(df.withColumns({c: F.lit(None).cast("double") for c in ("rsi_score", "zscore_score")}))
+    assert [r.mean_reversion_score for r in empty.collect()] == [None, None]
+
+
+def test_strict_walk_forward_matches_a_loop(spark):
+    """Values concatenated in order of their dates, null where there are too many."""
+    pdf = panel(90, seed=5)
+    rng = np.random.default_rng(3)
+    pdf["rsi"], pdf["zscore"] = rng.uniform(0, 100, len(pdf)), rng.normal(0, 1, len(pdf))
+    df = spark.createDataFrame(pdf).cache()
+    cfg = walk_forward.WalkForwardConfig(in_sample=40, out_of_sample=20, step=20, grid={"rsi_buy_threshold": (0.5, 2, 60), "zscore_buy_threshold": (1.0,), "max_holding_days": (2, 5)})
+    grid, wins = walk_forward.grid(spark, cfg.grid), walk_forward.windows(ranking.calendar(df), cfg)
+    pdf["i"] = [(d - DAY).days for d in pdf["date"]]
+    price = pdf.set_index(["ticker", "i"])["close"].to_dict()
+
+    def series(point, s, e):
+        rsi, z, hold = point
+        out = []
+        for i in range(s, e - int(hold)):
+            names = sorted(pdf[(pdf["i"] == i) & (pdf["rsi"] < rsi) & (pdf["zscore"] < z)]["ticker"])[:5]
+            out += [np.mean([price[t, i + hold] / price[t, i] - 1 for t in names]) / hold] * hold if names else [0.0]
+        return [x - 0.0003 for x in out] if len(out) <= e - s else None
+
+    points = list(product(*cfg.grid.values()))
+    spans = {w: (20 * w, 20 * w + 40) for w in range(2)}
+    got = {(r.window_id, r.grid_pos): r.sharpe for r in walk_forward.in_sample(df, grid, wins, strict=True).collect()}
+    undefined = 0
+    for (w, (s, e)), (g, p) in product(spans.items(), enumerate(points)):
+        x = series(p, s, e)
+        undefined += x is None
+        want = None if x is None else (np.mean(x) / np.std(x, ddof=1) * 252**0.5 if np.std(x, ddof=1) > 1e-12 else 0.0)
+        assert (got[w, g] is None) == (want is None) and (want is None or abs(got[w, g] - want) < 1e-6)
+    assert 0 < undefined < len(got)
+    chosen = walk_forward.best(walk_forward.in_sample(df, grid, wins, strict=True))
+    pick = {r.window_id: r.grid_pos for r in chosen.collect()}
+    oos = {}
+    for r in walk_forward.out_of_sample(df, grid, wins, chosen, strict=True).collect():
+        oos.setdefault(r.window_id, {})[r.date_idx] = r.ret
+    for w, g in pick.items():
+        x = series(points[g], 20 * w + 40, 20 * w + 60)
+        have = [oos[w][k] for k in sorted(oos[w])]
+        assert min(oos[w]) == 20 * w + 40 and (have == [None] * 20 if x is None else np.allclose(have, x))

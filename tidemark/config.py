@@ -13,6 +13,7 @@ class DataConfig:
     end_date: str = "2026-05-23"
     chunk_size: int = 10
     chunk_delay: float = 2.0
+    index_delay: float = 1.0
     max_retries: int = 3
     retry_delay: float = 5.0
     max_missing_pct: float = 0.20

@@ -70,19 +70,21 @@ def with_component_scores(df: DataFrame) -> DataFrame:
 
 def with_mean_reversion_score(df: DataFrame, cfg: RankingConfig = RankingConfig(), available: set[str] | None = None) -> DataFrame:
     """Weighted sum of the components that are available, weights made to add up to 1.
-    ``available``: by default those whose column is in the frame; ``non_null_components``
-    finds those with any value."""
-    weights = {s: w for s, w in cfg.weights().items() if s in (COMPONENTS if available is None else available) and (available is not None or COMPONENTS[s][0] in df.columns)}
+
+    ``available``: by default the components with any value in the whole frame. That is a
+    scalar subquery over the frame, which goes where the score is not read; name the
+    components to save it."""
+    weights = {s: w for s, w in cfg.weights().items() if s in (df.columns if available is None else available)}
     if not weights:
         return df.withColumn("mean_reversion_score", F.lit(None).cast("double"))
-    total = sum(weights.values())
-    return df.withColumn("mean_reversion_score", reduce(Column.__add__, [F.col(s) * (w / total) for s, w in weights.items()]))
-
-
-def non_null_components(df: DataFrame) -> set[str]:
-    """One aggregate action: the component scores with any value."""
-    row = df.agg(*[F.max(F.col(s).isNotNull()).alias(s) for s in COMPONENTS if s in df.columns]).first()
-    return {s for s, has in row.asDict().items() if has}
+    if available is None:
+        found = df.agg(F.struct(*[F.max(F.col(s).isNotNull()).alias(s) for s in weights]).alias("found")).scalar()
+        used = {s: F.coalesce(found[s], F.lit(False)) for s in weights}
+    else:
+        used = {s: F.lit(True) for s in weights}
+    total = reduce(Column.__add__, [F.when(used[s], w).otherwise(0.0) for s, w in weights.items()])
+    score = reduce(Column.__add__, [F.when(used[s], F.col(s) * w).otherwise(0.0) for s, w in weights.items()])
+    return df.withColumn("mean_reversion_score", divide(score, total))
 
 
 def with_all(df: DataFrame, index: DataFrame, cfg: RankingConfig = RankingConfig()) -> DataFrame:

@@ -63,15 +63,39 @@ def returns(panel: DataFrame, params: DataFrame, spans: DataFrame, costs: Backte
     return every.join(by_date, ["window_id", "grid_pos", "date_idx"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)) - cost)
 
 
+def concatenated_returns(panel: DataFrame, params: DataFrame, spans: DataFrame, costs: BacktestConfig = BacktestConfig()) -> DataFrame:
+    """The strict form of ``returns``: every date but the last ``max_holding_days`` adds one
+    0 or, with an entry, the entry's spread return once for each holding day, one after the
+    other, and the n-th value counts for the span's n-th date. Where that gives more values
+    than dates the series is undefined: every date has a null."""
+    near = Window.partitionBy("window_id", "grid_pos").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, -1)
+    hold, n = F.col("hold"), F.col("e") - F.col("s")
+    inside = entries(panel, params).join(F.broadcast(spans), (F.col("date_idx") >= F.col("s")) & (F.col("date_idx") + hold < F.col("e")))  # spans: a row per window
+    first = F.col("date_idx") - F.col("s") + F.count(F.lit(1)).over(near) * (hold - 1)
+    taken = inside.withColumn("first", first)
+    counts = taken.groupBy("window_id", "grid_pos").agg(F.count(F.lit(1)).alias("taken"))
+    values = taken.select("window_id", "grid_pos", (F.col("ret") / hold).alias("value"), F.explode(F.sequence(F.col("first"), F.col("first") + hold - 1)).alias("place"))
+    points = params.select("grid_pos", F.col("max_holding_days").cast("int").alias("hold"))
+    series = spans.crossJoin(F.broadcast(points)).join(counts, ["window_id", "grid_pos"], "left").withColumn("length", n - hold + F.coalesce("taken", F.lit(0)) * (hold - 1))  # windows x stated grid
+    series = series.withColumn("over", F.col("length") > n).where("length > 0")
+    every = series.select("window_id", "grid_pos", "s", "over", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("length"), n) - 1)).alias("place"))
+    cost = (costs.buy_cost + costs.sell_cost) / 10
+    ret = F.when(~F.col("over"), F.coalesce("value", F.lit(0.0)) - cost)
+    return every.join(values, ["window_id", "grid_pos", "place"], "left").select("window_id", "grid_pos", (F.col("s") + F.col("place")).cast("int").alias("date_idx"), ret.alias("ret"))
+
+
 def plain_sharpe(r: Column) -> Column:
     s = F.stddev_samp(r)
     return F.when(s > 1e-12, F.avg(r) / F.nullif(s, F.lit(0.0)) * F.sqrt(F.lit(float(TRADING_DAYS)))).otherwise(0.0)
 
 
-def in_sample(panel: DataFrame, params: DataFrame, wins: DataFrame) -> DataFrame:
-    """(window_id, grid_pos, sharpe) over the training spans."""
+def in_sample(panel: DataFrame, params: DataFrame, wins: DataFrame, strict: bool = False) -> DataFrame:
+    """(window_id, grid_pos, sharpe) over the training spans; ``strict`` concatenates
+    returns, and the Sharpe ratio of an undefined series is null."""
     spans = wins.select("window_id", F.col("train_start").alias("s"), F.col("train_end").alias("e"))
-    return returns(panel, params, spans).groupBy("window_id", "grid_pos").agg(plain_sharpe(F.col("ret")).alias("sharpe"))
+    found = (concatenated_returns if strict else returns)(panel, params, spans)
+    defined = F.count("ret") == F.count(F.lit(1))
+    return found.groupBy("window_id", "grid_pos").agg(F.when(defined, plain_sharpe(F.col("ret"))).alias("sharpe"))
 
 
 def best(scores: DataFrame) -> DataFrame:
@@ -80,10 +104,10 @@ def best(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_k", place).where("_k = 1").drop("_k")
 
 
-def out_of_sample(panel: DataFrame, params: DataFrame, wins: DataFrame, chosen: DataFrame) -> DataFrame:
+def out_of_sample(panel: DataFrame, params: DataFrame, wins: DataFrame, chosen: DataFrame, strict: bool = False) -> DataFrame:
     """(window_id, grid_pos, date_idx, ret) over the test spans, with the chosen points."""
     spans = wins.select("window_id", F.col("test_start").alias("s"), F.col("test_end").alias("e"))
-    return returns(panel, params, spans).join(chosen.select("window_id", "grid_pos"), ["window_id", "grid_pos"], "left_semi")
+    return (concatenated_returns if strict else returns)(panel, params, spans).join(chosen.select("window_id", "grid_pos"), ["window_id", "grid_pos"], "left_semi")
 
 
 def summary(chosen: DataFrame, oos: DataFrame) -> DataFrame:

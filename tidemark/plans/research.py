@@ -37,9 +37,11 @@ class Backtest:
 
 def research(bars: DataFrame, index: DataFrame, vix: DataFrame | None = None, cfg: Config = Config(), raw: bool = False) -> Research:
     """Cleaning (if ``raw``), indicators, features, regime, signals, rankings. The index
-    series are tables of their own and never enter the cross-section."""
+    series are tables of their own and never enter the cross-section. Of raw bars with the
+    same ticker and date the last in ``source_row`` stays, if the bars have that column."""
     cfg.validate()
-    bars = clean.clean(clean.deduplicated(bars), cfg.data) if raw else bars
+    if raw:
+        bars = clean.clean(clean.deduplicated(bars, "source_row" if "source_row" in bars.columns else None).drop("source_row"), cfg.data)
     feats = features.with_all(indicators.with_all(bars, cfg.indicators), index, cfg.ranking)
     market = regime.regimes(index, vix, cfg.regime)
     sig = signals.with_all(feats, market, cfg.signals, cfg.regime)

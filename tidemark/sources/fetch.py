@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import DataConfig
 from ..schemas import BARS_RAW
+from .universe import INDEXES
 
 Fetch = Callable[[str, str, str], list[tuple]]
 
@@ -35,23 +37,33 @@ def fetched(fetch: Fetch, symbol: str, cfg: DataConfig, sleep: Callable[[float],
     return []
 
 
-def bar_source(fetch: Fetch, symbols: dict[str, str], cfg: DataConfig = DataConfig(), name: str = "bars") -> type[DataSource]:
-    """A data source over ``symbols`` (name in the table -> symbol of the service): one
-    partition per chunk, so a chunk's pauses hold up no other, and a lost task fetches
-    its chunk again."""
+def fetched_chunks(fetch: Fetch, parts: list[list[tuple[str, str]]], cfg: DataConfig, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+    """Rows of chunks of (name, symbol), one chunk after the other, with ``chunk_delay``
+    between two chunks."""
+    for i, part in enumerate(parts):
+        if i:
+            sleep(cfg.chunk_delay)
+        for ticker, symbol in part:
+            for row in fetched(fetch, symbol, cfg, sleep):
+                yield (ticker, *row)
 
-    class Chunk(InputPartition):
-        def __init__(self, pairs: list[tuple[str, str]]):
-            self.pairs = pairs
+
+def bar_source(fetch: Fetch, symbols: dict[str, str], cfg: DataConfig = DataConfig(), name: str = "bars", lanes: int = 1) -> type[DataSource]:
+    """A data source over ``symbols`` (name in the table -> symbol of the service). Chunks
+    are dealt to ``lanes``, a partition each; a lane pauses between its chunks, so the
+    service sees at most ``lanes`` requests at a time. A lost task fetches its lane again."""
+
+    class Lane(InputPartition):
+        def __init__(self, parts: list[list[tuple[str, str]]]):
+            self.parts = parts
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
-            return [Chunk(c) for c in chunks(sorted(symbols.items()), cfg.chunk_size)]
+            parts = chunks(sorted(symbols.items()), cfg.chunk_size)
+            return [Lane(parts[i::lanes]) for i in range(max(1, min(lanes, len(parts))))]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            for ticker, symbol in partition.pairs:
-                for row in fetched(fetch, symbol, cfg):
-                    yield (ticker, *row)
+            yield from fetched_chunks(fetch, partition.parts, cfg)
 
     class Bars(DataSource):
         @classmethod
@@ -67,6 +79,13 @@ def bar_source(fetch: Fetch, symbols: dict[str, str], cfg: DataConfig = DataConf
     return Bars
 
 
-def load(spark: SparkSession, fetch: Fetch, symbols: dict[str, str], cfg: DataConfig = DataConfig(), name: str = "bars") -> DataFrame:
-    spark.dataSource.register(bar_source(fetch, symbols, cfg, name))
+def load(spark: SparkSession, fetch: Fetch, symbols: dict[str, str], cfg: DataConfig = DataConfig(), name: str = "bars", lanes: int = 1) -> DataFrame:
+    spark.dataSource.register(bar_source(fetch, symbols, cfg, name, lanes))
     return spark.read.format(name).load()
+
+
+def load_indexes(spark: SparkSession, fetch: Fetch, cfg: DataConfig = DataConfig(), indexes: dict[str, str] = INDEXES, name: str = "index_bars") -> DataFrame:
+    """Bars of the index series by ``index_name``, their plain name, one after the other
+    with ``index_delay`` between them."""
+    one_by_one = replace(cfg, chunk_size=1, chunk_delay=cfg.index_delay)
+    return load(spark, fetch, indexes, one_by_one, name).withColumnRenamed("ticker", "index_name")

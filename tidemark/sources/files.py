@@ -30,9 +30,10 @@ def read_csv_bars(spark: SparkSession, folder: str) -> DataFrame:
     """bars_raw of every *.csv in a folder, one file per ticker, first column the date.
 
     A declared schema (no inference pass); rows without a readable date are dropped,
-    unreadable values are null, unreadable files are skipped."""
+    unreadable values are null, unreadable files are skipped. ``source_row`` orders the
+    rows of a file as they stand in it, for ``clean.deduplicated``."""
     raw = spark.read.schema(CSV_BARS).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder)
-    df = raw.select(ticker_of_path(F.col("_metadata.file_path")).alias("ticker"), parse_date(F.col("date")).alias("date"), *OHLCV)
+    df = raw.select(ticker_of_path(F.col("_metadata.file_path")).alias("ticker"), parse_date(F.col("date")).alias("date"), *OHLCV, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("source_row"))
     return nan_to_null(df).where("date is not null")
 
 
