@@ -86,6 +86,19 @@ def test_components(spark):
     assert graph.components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_dealt_join_is_a_join(spark):
+    """One key with most rows, keys without a partner, repeated rows, no rows."""
+    from tidemark.llm.graph import PARTS, dealt_join
+
+    many = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 7), (2, 7), (3, 1)], "u long, x long")
+    one = spark.createDataFrame([(1, 10), (2, 20), (4, 40)], "u long, m long")
+    for how in ("inner", "left"):
+        assert sorted(map(str, dealt_join(many, one, "u", how).collect())) == sorted(map(str, many.join(one, "u", how).collect()))
+        assert dealt_join(many.limit(0), one, "u", how).count() == 0
+    spread = many.where("u = 1").select((F.pmod(F.xxhash64("u", "x"), F.lit(PARTS))).alias("p")).distinct().count()
+    assert spread == PARTS
+
+
 def test_near_duplicates(spark, corpus, frame):
     sets = {d: shingle_set(t) for d, t in corpus}
     ids = sorted(sets)

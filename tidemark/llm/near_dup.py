@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import BASE, U, Scratch, as_long, list_array, mix, row_bounds, slices, text_shingles, utf8_text
-from .graph import components
+from .graph import components, dealt_join
 
 #: A pair at similarity 0.75 escapes all bands with probability (1 - 0.75**6)**50 < 6e-5, one at 0.8 with 3e-7.
 ROWS, BANDS = 6, 50
@@ -177,11 +177,12 @@ class Checker:
             return self.scratch.table(components(of.select(F.col("v").alias("u"), F.col("m").alias("v")).union(ties), self.scratch, f"cc-{t}"), f"labels-{t}")
         if links.isEmpty():
             return labels
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
-        ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("u_of", "u").alias("a"), F.coalesce("v_of", "v").alias("b"))
+        # Only ends of links are looked up, and a pivot of very many links is dealt to several tasks.
+        of = lambda c: links.select(c).distinct().join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c)
+        ends = dealt_join(dealt_join(links, of("u"), "u", "left"), of("v"), "v", "left").select("u", "v", F.coalesce("u_of", "u").alias("a"), F.coalesce("v_of", "v").alias("b"))
         joined = self.scratch.table(components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")), self.scratch, f"cc-{t}"), f"joined-{t}")
         known = labels.union(ends.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("component")), F.struct(F.col("v").alias("node"), F.col("b").alias("component")))).alias("x")).select("x.*")).groupBy("node").agg(F.min("component").alias("component"))
-        moved = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        moved = dealt_join(known, joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
         return self.scratch.table(moved.select("node", F.coalesce("to", "component").alias("component")), f"labels-{t}")
 
 
