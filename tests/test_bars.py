@@ -1,6 +1,7 @@
 """Bar operators against independent pandas versions, edge cases and invariants."""
 
 import datetime as dt
+import random
 from itertools import product
 
 import numpy as np
@@ -200,6 +201,24 @@ def test_metrics_edges(spark):
     assert close(s.skewness, x.skew()) and s.kurtosis is None
 
 
+def test_max_drawdown_reads_its_curve_once(spark):
+    """Values that differ between two computations, as sums of doubles do in their last bits."""
+    drift = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()  # forked workers share the seed of random.random
+    e = spark.range(40, numPartitions=2).select(F.expr("date_add(date'2024-01-01', cast(id as int))").alias("date"), (100 - F.col("id") + drift() * 1e-9).alias("equity"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        m = metrics.max_drawdown(e).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert m.peak_date == dt.date(2024, 1, 1) and m.trough_date == dt.date(2024, 2, 9) and close(m.max_drawdown, -0.39)
+
+
+def test_max_drawdown_skips_a_peak_of_zero(spark):
+    z = spark.createDataFrame([(DAY + dt.timedelta(days=i), v) for i, v in enumerate([None, 0.0, 100.0, 50.0, 40.0])], "date date, equity double")
+    m = metrics.max_drawdown(z).first()
+    assert m.max_drawdown == -0.6 and m.peak_date == DAY + dt.timedelta(days=2) and m.trough_date == DAY + dt.timedelta(days=4)
+
+
 def test_walk_forward(spark, bars):
     df = indicators.with_rsi(bars.withColumn("zscore", indicators.zscore(F.col("close"))), 2).withColumnRenamed("rsi_2", "rsi")
     cfg = walk_forward.WalkForwardConfig(in_sample=100, out_of_sample=30, step=50, grid={"rsi_buy_threshold": (20, 50), "zscore_buy_threshold": (-1.0, 0.0), "max_holding_days": (3,)})

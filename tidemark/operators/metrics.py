@@ -73,14 +73,17 @@ def drawdowns(equity: DataFrame) -> DataFrame:
     return equity.select("date", "equity", peak.alias("peak")).withColumn("drawdown", divide(F.col("equity") - F.col("peak"), F.col("peak")))
 
 
-def max_drawdown(equity: DataFrame) -> DataFrame:
+def max_drawdown(equity: DataFrame, *more: Column) -> DataFrame:
     """One row: depth, dates of peak, trough and recovery. The trough is the first lowest
     date; the peak the last date up to it at the peak's value; the recovery the first
     later date that regains it, given that at least two do. A curve that never falls, or
-    has no rows, has depth 0 and no dates."""
-    d = drawdowns(equity)
-    trough = d.agg(F.min_by(F.struct(F.col("date").alias("trough_date"), "peak", "drawdown"), F.struct("drawdown", "date")).alias("x")).select("x.trough_date", F.col("x.peak").alias("level"), F.col("x.drawdown").alias("max_drawdown"))
-    d = d.join(F.broadcast(trough))  # one row is broadcast
+    has no rows, has depth 0 and no dates. ``more``: further aggregates of the curve.
+
+    The curve is computed once: values are compared for equality, and sums of doubles differ
+    in their last bits from one computation to the next."""
+    at = F.when(F.col("drawdown").isNotNull(), F.struct("drawdown", F.col("date").alias("trough_date"), F.col("peak").alias("level")))
+    whole = by_calendar().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = drawdowns(equity).withColumn("low", F.min(at).over(whole)).select("date", "equity", F.col("low.drawdown").alias("max_drawdown"), "low.trough_date", "low.level")
     falls = F.col("max_drawdown") < 0
     back = falls & (F.col("date") > F.col("trough_date")) & (F.col("equity") >= F.col("level"))
     return d.agg(
@@ -88,6 +91,7 @@ def max_drawdown(equity: DataFrame) -> DataFrame:
         F.max(F.when(falls, F.col("trough_date"))).alias("trough_date"),
         F.max(F.when(falls & (F.col("date") <= F.col("trough_date")) & (F.col("equity") == F.col("level")), F.col("date"))).alias("peak_date"),
         F.when(F.sum(back.cast("long")) >= 2, F.min(F.when(back, F.col("date")))).alias("recovery_date"),
+        *more,
     )
 
 

@@ -392,9 +392,8 @@ def drawdown(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def max_drawdown(spark, d):  # noqa: ANN001, ANN201
-    m = metrics.max_drawdown(_equity(spark, d))
-    c = _equity(spark, d).agg(metrics.cagr().alias("cagr"))
-    return rounded(m.crossJoin(c).withColumn("calmar", metrics.calmar(F.col("cagr"), F.col("max_drawdown"))).drop("cagr"))  # one row each
+    m = metrics.max_drawdown(_equity(spark, d), metrics.cagr().alias("cagr"))
+    return rounded(m.withColumn("calmar", metrics.calmar(F.col("cagr"), F.col("max_drawdown"))).drop("cagr"))
 
 
 @query
