@@ -8,7 +8,7 @@ import pytest
 
 from tidemark.config import BacktestConfig, Config
 from tidemark.operators import simulate
-from tidemark.plans import queries
+from tidemark.plans import queries, research
 
 SMALL = "/root/testdata/sf0.001"
 CFG = Config()
@@ -99,6 +99,18 @@ def test_fold_matches_a_loop(spark, run, fill, tight):
     assert have.keys() == want.keys() and all(have[k] == want[k] or abs(have[k] - want[k]) < 1e-6 * max(1, abs(want[k])) for k in want)
 
 
+def test_backtest_plans_on_settled_inputs(spark, run):
+    """The run's plan, which the metrics repeat, holds a few scans and not the panel's plan many times."""
+    s, ranks, market, days = run
+    b = research.backtest(research.Research(s, market, s, ranks))
+    try:
+        assert b.runs._jdf.queryExecution().analyzed().collectLeaves().size() < 10
+        assert b.equity.collect() == simulate.simulated_equity(days, simulate.scenarios(spark)).collect()
+        assert b.metrics.first().total_trades == b.trades.count() > 20
+    finally:
+        b.release()
+
+
 def test_unknown_fill_is_refused(spark, run):
     with pytest.raises(ValueError):
         simulate.simulated(run[3], simulate.scenarios(spark), dataclasses.replace(CFG.backtest, exit_fill="midday"))

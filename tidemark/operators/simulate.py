@@ -112,6 +112,10 @@ class Portfolio:
             self.open(ticker, next_date, price, atr if has_bar else price * self.rules.fallback_atr)
 
 
+#: The columns of the signals that the simulation reads.
+SEEN = ("ticker", "date", "open", "low", "close", "atr", "sell_signal", "exit_reason")
+
+
 def days_of(signals: DataFrame, rankings: DataFrame, regime: DataFrame, rules: RegimeConfig = RegimeConfig()) -> DataFrame:
     """One row per date: next date, whether entries are allowed, bars, candidates.
 

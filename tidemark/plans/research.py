@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,27 @@ def research(bars: DataFrame, index: DataFrame, vix: DataFrame | None = None, cf
     return Research(feats, market, sig, ranking.ranked(sig, cfg.ranking))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed now and read from there, so that what follows plans on one scan: a
+    checkpoint in the shared folder where the session has one (``spark.checkpoint.dir``), else
+    in the process of a local master. On a cluster without such a folder ``df`` as it is."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir():
+        return df.checkpoint()
+    return df.localCheckpoint() if re.fullmatch(r"local(\[[^]]*\])?", sc.master) else df
+
+
 def backtest(r: Research, cfg: Config = Config(), benchmark: DataFrame | None = None, spark: SparkSession | None = None) -> Backtest:
     """Simulates the configured scenario; the reduced panel of days is the fold's only input.
     The fold runs once for both tables: its one row is persisted (a row of equity a date)
-    until ``Backtest.release``, and computed again if its executor is lost."""
+    until ``Backtest.release``, and computed again if its executor is lost.
+
+    Signals, rankings and regime repeat the panel's plan many times over and the metrics read
+    the run five times, so the columns that the fold needs are settled first: planned as one,
+    they take more than a gigabyte of the driver."""
     spark = spark or r.signals.sparkSession
-    days = simulate.days_of(r.signals, r.rankings, r.regime, cfg.regime)
+    seen = settled(r.signals.select(*simulate.SEEN))
+    days = simulate.days_of(seen, settled(r.rankings.select("date", "ticker", "rank")), settled(r.regime.select("date", "regime")), cfg.regime)
     which = simulate.scenarios(spark, cfg.backtest)
     runs = simulate.simulated(days, which, cfg.backtest, cfg.signals).persist()
     equity, trades = simulate.equity_of(runs), simulate.trades_of(runs)
