@@ -435,11 +435,12 @@ def exit_breakdown(spark, d):  # noqa: ANN001, ANN201
 # ------------------------------------------------------------------------- simulation
 
 
-def calm(spark, d):  # noqa: ANN001, ANN202
-    """The panel with damped prices: undamped ones jump a hundredfold from day to day."""
+def calm(spark, d, once=lambda df: df):  # noqa: ANN001, ANN202
+    """The panel with damped prices: undamped ones jump a hundredfold from day to day.
+    ``once`` is applied to its three tables, which the plan reads many times."""
     b = bars(spark, d)
-    b = b.withColumns({c: 100 * F.pow(c, F.lit(0.02)) for c in ("open", "high", "low", "close")})
-    return research.research(b, panels.index_daily(b), panels.vix_daily(spark, d), CFG)
+    b = once(b.withColumns({c: 100 * F.pow(c, F.lit(0.02)) for c in ("open", "high", "low", "close")}))
+    return research.research(b, once(panels.index_daily(b)), once(panels.vix_daily(spark, d)), CFG)
 
 
 def _days(spark, d):  # noqa: ANN001, ANN202
@@ -465,7 +466,7 @@ def cost_sensitivity(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def portfolio_metrics(spark, d):  # noqa: ANN001, ANN201
-    return research.backtest(calm(spark, d), CFG).metrics
+    return research.backtest(calm(spark, d, research.settled), CFG).metrics
 
 
 # ----------------------------------------------------------------------- walk-forward
